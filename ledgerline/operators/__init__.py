@@ -2,13 +2,22 @@
 
 from ledgerline.operators.aggregate import missing_counts, non_null_counts, pivot_sum, row_counts, text_widths, totals
 from ledgerline.operators.filters import drop_incomplete, exclude_value, keep_token, keep_value
-from ledgerline.operators.joins import attach_calendar, combine_prices, deduct, deduct_orders, lookup, only_deducted
+from ledgerline.operators.joins import (
+    attach_calendar,
+    bounded_broadcast,
+    combine_prices,
+    deduct,
+    deduct_orders,
+    lookup,
+    only_deducted,
+)
 from ledgerline.operators.quality import existing_categories, key_fanout, uncategorized
 from ledgerline.operators.setops import union_all, upsert
 from ledgerline.operators.window import first_per_key
 
 __all__ = [
     "attach_calendar",
+    "bounded_broadcast",
     "combine_prices",
     "deduct",
     "deduct_orders",

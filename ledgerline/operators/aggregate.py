@@ -33,11 +33,11 @@ def pivot_sum(
         cond = cond & F.col(k).isNotNull()
     if only_listed:
         cond = cond & F.col(pivot_col).isin(list(values))
-    pivoted = df.filter(cond).groupBy(*keys).pivot(pivot_col, list(values)).agg(F.sum(measure))
-    return pivoted.select(
-        *keys,
-        *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(names.get(v, v)) for v in values],
-    )
+    # One conditional sum per listed value: a single aggregate with a map-side
+    # partial phase and one shuffle (DataFrame.pivot would aggregate twice).
+    sums = [F.coalesce(F.sum(F.when(F.col(pivot_col) == F.lit(v), F.col(measure))), F.lit(0)).alias(names.get(v, v))
+            for v in values]
+    return df.filter(cond).groupBy(*keys).agg(*sums)
 
 
 def totals(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,12 +1,16 @@
 """Joins of facts with reference tables and the deduction list.
 
-No join here carries a ``broadcast()`` hint. Spark broadcasts a side when its
+Plain lookups carry no ``broadcast()`` hint. Spark broadcasts a side when its
 estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` and, with AQE,
 when the measured size of a finished shuffle stage is under the adaptive
-threshold; otherwise it sort-merges (AQE splits skewed partitions). Reference
-tables (category, supervisor, calendar, prices) are SKU-, rep- or day-sized and
-end up broadcast; the customer dimension is sort-merged once it outgrows the
-threshold. A hint would bypass the size check, so none is given.
+threshold; otherwise it sort-merges (AQE splits skewed partitions). Landed
+reference tables (category, supervisor, calendar, free goods) have exact file
+sizes and end up broadcast; the customer dimension is sort-merged once it
+outgrows the threshold.
+
+A dimension computed inside the plan (an aggregate, an outer join) has no
+usable size estimate, so Spark would shuffle the whole fact side before AQE
+can switch. :func:`bounded_broadcast` settles that case with a real count.
 """
 
 from __future__ import annotations
@@ -47,6 +51,22 @@ def lookup(
     return fact.join(renamed, cond, how).drop(*[f"__dim_{k}" for k in keys])
 
 
+def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``dim`` only when it provably has at most ``max_rows`` rows.
+
+    The dimension is written once to the shared checkpoint folder (a reliable
+    checkpoint, so lost executors do not lose it and its lineage is cut), then
+    counted from there. Within the bound the result carries a broadcast hint;
+    beyond it no hint is given and the join sort-merges.
+    """
+    from ledgerline.session import scratch_dir
+
+    scratch_dir(dim.sparkSession)  # the shared folder named by spark.checkpoint.dir
+    materialised = dim.checkpoint(eager=True)
+    rows = materialised.count()
+    return F.broadcast(materialised) if rows <= max_rows else materialised
+
+
 def attach_calendar(fact: DataFrame, calendar: DataFrame, date_col: str = "txn_date") -> DataFrame:
     """Inner join on the transaction date; facts on dates missing from the calendar drop out."""
     cal = calendar.select(F.col("txn_date").alias(date_col), "week")

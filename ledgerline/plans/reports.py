@@ -17,6 +17,7 @@ from ledgerline import params as P
 from ledgerline.functions import strip_retired_suffix, with_vat
 from ledgerline.operators import (
     attach_calendar,
+    bounded_broadcast,
     exclude_value,
     first_per_key,
     keep_token,
@@ -94,8 +95,9 @@ def enrich(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -
 
 
 def _prices(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+    """Case-price reference, broadcast to the fact joins when its row count is within the bound."""
     nonvan, van = price_lists(refs["price"], params)
-    return price_reference(nonvan, van)
+    return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows)
 
 
 def net_invoiced(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
