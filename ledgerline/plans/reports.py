@@ -94,17 +94,22 @@ def enrich(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -
     return lookup(f, refs["free_goods"], "sku", ["case_size"])
 
 
-def _prices(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
-    """Case-price reference, broadcast to the fact joins when its row count is within the bound."""
+def case_prices(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+    """Case-price reference ``(sku, nonvan_price, van_price)``, checkpointed and broadcast
+    to the fact joins when its row count is within ``params.broadcast_max_rows``."""
     nonvan, van = price_lists(refs["price"], params)
     return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows)
 
 
-def net_invoiced(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+def _prices(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None) -> DataFrame:
+    return prices if prices is not None else case_prices(refs, params)
+
+
+def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
     """Invoices plus pivoted returns, enriched, with net value and volume."""
     inv = clean_invoices(refs["invoice"], refs["deductions"])
     ret = returns_pivot(refs["returns"], refs["deductions"]).withColumn("served", zero())
-    f = enrich(union_all([inv, ret]), refs, _prices(refs, params))
+    f = enrich(union_all([inv, ret]), refs, _prices(refs, params, prices))
     f = f.withColumn("net_value", F.col("served") - F.col("bad_returns") - F.col("good_returns"))
     f = with_volume(f, "net_value", params)
     f = lookup(f, refs["gt_channel"], "customer_class", ["gt_channel"])
@@ -116,23 +121,23 @@ def net_invoiced(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
     return f.select(*NET_INVOICED_COLS)
 
 
-def _order_report(facts: DataFrame, value: str, refs, params: Params) -> DataFrame:
-    f = enrich(facts, refs, _prices(refs, params))
+def _order_report(facts: DataFrame, value: str, refs, params: Params, prices: DataFrame | None) -> DataFrame:
+    f = enrich(facts, refs, _prices(refs, params, prices))
     f = with_volume(f, value, params)
     f = f.withColumns({"distributor": F.lit(params.distributor), "value": F.col(value)})
     return f.select(*ORDER_REPORT_COLS)
 
 
-def sales_order_report(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+def sales_order_report(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
     """Invoiced sales orders minus carried deductions, VAT value and volume."""
     so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"])
-    return _order_report(so, "value", refs, params)
+    return _order_report(so, "value", refs, params, prices)
 
 
-def served_invoice(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+def served_invoice(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
     """Invoices only (no returns), served value and volume."""
     inv = clean_invoices(refs["invoice"], refs["deductions"])
-    return _order_report(inv, "served", refs, params)
+    return _order_report(inv, "served", refs, params, prices)
 
 
 def net_sellout(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:

@@ -59,3 +59,14 @@ def test_workbook_export_import_round_trip(spark):
     assert sum(r.rows for r in written) == 50
     back = ingest_workbooks(spark, f"{folder}/*.xlsx", df.schema)
     assert sorted(map(tuple, back.drop("source_file").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_workbook_positional_columns(spark):
+    folder = tempfile.mkdtemp(prefix="ll-xlsx-")
+    rows = [("x", "y"), ("note", None), ("RETAIL", "CL-R"), ("WHOLESALE", None)]
+    with open(os.path.join(folder, "c.xlsx"), "wb") as fh:
+        fh.write(build_workbook(list(rows[0]), rows[1:]))
+    schema = T.StructType([T.StructField("customer_class", T.StringType()),
+                           T.StructField("classification", T.StringType())])
+    out = ingest_workbooks(spark, f"{folder}/*.xlsx", schema, header_row=3, by_position=True).drop("source_file")
+    assert sorted(map(tuple, out.dropna().collect())) == [("RETAIL", "CL-R")]
