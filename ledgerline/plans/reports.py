@@ -50,11 +50,14 @@ SELLOUT_COLS = ["doc_no", "txn_date", "rep_id", "customer_id", "customer_name",
 
 PRICE_LIST_COLS = ["sku", "sku_name", "case_price", "subcase_price", "piece_price"]
 
+# Sink order: the source reports' keys first, then tie-breakers. The extra keys
+# make the order total (reruns write identical files) and let the range
+# partitioner split a date that holds a large share of all rows.
 REPORT_ORDER = {
-    "net_invoiced": ["txn_date", "customer_id"],
-    "sales_order": ["txn_date", "customer_id"],
-    "served_invoice": ["txn_date", "customer_id"],
-    "net_sellout": ["txn_date"],
+    "net_invoiced": ["txn_date", "customer_id", "sku", "sku_name", "net_value"],
+    "sales_order": ["txn_date", "customer_id", "sku", "sku_name", "value"],
+    "served_invoice": ["txn_date", "customer_id", "sku", "sku_name", "value"],
+    "net_sellout": ["txn_date", "doc_no", "sku", "qty"],
     "customer_master": ["created_on", "customer_id"],
 }
 
