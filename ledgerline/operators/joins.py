@@ -54,15 +54,20 @@ def lookup(
 def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``dim`` only when it provably has at most ``max_rows`` rows.
 
-    The dimension is written once to the shared checkpoint folder (a reliable
-    checkpoint, so lost executors do not lose it and its lineage is cut), then
-    counted from there. Within the bound the result carries a broadcast hint;
-    beyond it no hint is given and the join sort-merges.
+    The dimension is computed once and written as a Parquet table in the shared
+    scratch folder (``spark.checkpoint.dir``): lost executors cannot lose it, its
+    lineage is cut, and the planner sees its real file size. It is then counted
+    from there. Within the bound the result carries a broadcast hint; beyond it
+    no hint is given and the join sort-merges.
     """
+    import uuid
+
     from ledgerline.session import scratch_dir
 
-    scratch_dir(dim.sparkSession)  # the shared folder named by spark.checkpoint.dir
-    materialised = dim.checkpoint(eager=True)
+    spark = dim.sparkSession
+    path = f"{scratch_dir(spark)}/materialised/{uuid.uuid4().hex}"
+    dim.write.parquet(path)
+    materialised = spark.read.parquet(path)
     rows = materialised.count()
     return F.broadcast(materialised) if rows <= max_rows else materialised
 

@@ -35,9 +35,12 @@ def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
     for k in RETURN_PIVOT_KEYS:
         key_missing = key_missing | F.col(k).isNull()
     cal = refs["calendar"]
+    returns_lost = ret.agg(
+        F.count_if(key_missing).cast("bigint").alias("returns_missing_pivot_key"),
+        F.count_if(~key_missing & F.col("facility_class").isNull()).cast("bigint").alias("returns_unknown_facility"),
+    ).unpivot([], ["returns_missing_pivot_key", "returns_unknown_facility"], "metric", "rows")
     parts = [
-        _count(ret, "returns_missing_pivot_key", key_missing),
-        _count(ret, "returns_unknown_facility", ~key_missing & F.col("facility_class").isNull()),
+        returns_lost,
         _not_in_calendar(clean_invoices(refs["invoice"], refs["deductions"]), cal, "invoices_not_in_calendar"),
         _not_in_calendar(returns_pivot(refs["returns"], refs["deductions"]), cal, "returns_not_in_calendar"),
         _not_in_calendar(invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]), cal,

@@ -27,7 +27,15 @@ from ledgerline.operators import (
     union_all,
 )
 from ledgerline.params import Params
-from ledgerline.plans.facts import zero, clean_invoices, invoiced_orders, price_reference, returns_pivot
+from ledgerline.plans.facts import (
+    RETURN_PIVOT_KEYS,
+    clean_invoices,
+    clean_returns,
+    invoiced_orders,
+    price_reference,
+    returns_pivot,
+    zero,
+)
 from ledgerline.plans.volume import with_volume
 
 CUSTOMER_COLS = [
@@ -167,10 +175,17 @@ def product_catalogue(refs: Mapping[str, DataFrame]) -> DataFrame:
     """One ``(sku, sku_name)`` per SKU seen in invoices, returns and invoiced orders.
 
     Invoice names win over return names over order names; within one source the
-    smallest name wins (the source's file order does not exist here).
+    smallest name wins (the source's file order does not exist here). A return
+    line contributes exactly when it survives the returns pivot (all pivot keys
+    present, facility recognised), so those rows are read directly instead of
+    aggregating the pivot first.
     """
     inv = clean_invoices(refs["invoice"], refs["deductions"]).select("sku", "sku_name", F.lit(0).alias("source"))
-    ret = returns_pivot(refs["returns"], refs["deductions"]).select("sku", "sku_name", F.lit(1).alias("source"))
+    ret = clean_returns(refs["returns"], refs["deductions"])
+    keep = F.col("facility_class").isin(list(P.FACILITIES))
+    for k in RETURN_PIVOT_KEYS:
+        keep = keep & F.col(k).isNotNull()
+    ret = ret.filter(keep).select("sku", "sku_name", F.lit(1).alias("source"))
     so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]).select(
         "sku", "sku_name", F.lit(2).alias("source"))
     return first_per_key(union_all([inv, ret, so]), ["sku"], ["source", "sku_name"]).select("sku", "sku_name")
