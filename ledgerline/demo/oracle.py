@@ -556,6 +556,8 @@ FROM (SELECT customer_id, created, CAST(try_strptime(created, '%m/%d/%Y') AS DAT
     "net_sellout": NET_SELLOUT,
     "loss_metrics": _loss(),
     "partition_roundtrip": NET_SELLOUT,
+    "renamed_report": "SELECT doc_no AS document, txn_date AS transaction_date, rep_id AS employee, customer_id, "
+                      "customer_name, sku, sku_name, uom, qty AS quantity FROM (" + NET_SELLOUT + ")",
     "workbook_ingest": _with() + """
 SELECT customer_id, customer_name, customer_class, account_group, rep_id, rep_name, branch, barangay, city, province,
        channel, status, retail_env, created FROM d_customer""",

@@ -274,6 +274,14 @@ def customer_master_q(spark, sf_dir):
     return finish(C.customer_master(_t(spark, sf_dir), DEMO_PARAMS))
 
 
+DISPLAY_NAMES = {"doc_no": "document", "txn_date": "transaction_date", "rep_id": "employee", "qty": "quantity"}
+
+
+def renamed_report_q(spark, sf_dir):
+    r = R.net_sellout(_t(spark, sf_dir), DEMO_PARAMS)
+    return finish(O.rename_columns(r, DISPLAY_NAMES, strict=True))
+
+
 def net_sellout_q(spark, sf_dir):
     return finish(R.net_sellout(_t(spark, sf_dir), DEMO_PARAMS))
 
@@ -318,6 +326,7 @@ QUERIES: dict[str, Query] = {
     "served_invoice": served_invoice_q,
     "customer_master": customer_master_q,
     "net_sellout": net_sellout_q,
+    "renamed_report": renamed_report_q,
     "loss_metrics": loss_metrics_q,
     "partition_roundtrip": partition_roundtrip_q,
     "workbook_ingest": workbook_ingest_q,

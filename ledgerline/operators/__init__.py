@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators: filters, joins, aggregation, first-per-key, set ops, quality."""
 
 from ledgerline.operators.aggregate import missing_counts, non_null_counts, pivot_sum, row_counts, text_widths, totals
-from ledgerline.operators.filters import drop_incomplete, exclude_value, keep_token, keep_value
+from ledgerline.operators.filters import drop_incomplete, exclude_value, keep_token, keep_value, rename_columns
 from ledgerline.operators.joins import (
     attach_calendar,
     bounded_broadcast,
@@ -33,6 +33,7 @@ __all__ = [
     "non_null_counts",
     "only_deducted",
     "pivot_sum",
+    "rename_columns",
     "row_counts",
     "text_widths",
     "totals",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,3 +34,15 @@ def keep_token(df: DataFrame, col: str, token: str | None, mode: str) -> DataFra
 def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with any missing value (in ``cols`` or in every column)."""
     return df.dropna(how="any", subset=list(cols) if cols else None)
+
+
+def rename_columns(df: DataFrame, mapping: Mapping[str, str], strict: bool = False) -> DataFrame:
+    """Rename columns by a map (e.g. display names supplied at run time).
+
+    Names absent from ``df`` are ignored unless ``strict``, in which case they
+    raise, so a stale mapping is caught before any job runs.
+    """
+    missing = [c for c in mapping if c not in df.columns]
+    if strict and missing:
+        raise KeyError(f"columns not in the report: {missing}")
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})

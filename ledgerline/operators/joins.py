@@ -73,9 +73,12 @@ def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
 
 
 def attach_calendar(fact: DataFrame, calendar: DataFrame, date_col: str = "txn_date") -> DataFrame:
-    """Inner join on the transaction date; facts on dates missing from the calendar drop out."""
-    cal = calendar.select(F.col("txn_date").alias(date_col), "week")
-    return fact.join(cal, date_col, "inner")
+    """Inner join on the transaction date; facts on dates missing from the calendar drop out.
+
+    Both sides are compared as dates, so a timestamp with a time of day still finds its day.
+    """
+    cal = calendar.select(F.to_date("txn_date").alias(date_col), "week")
+    return fact.withColumn(date_col, F.to_date(date_col)).join(cal, date_col, "inner")
 
 
 def combine_prices(nonvan: DataFrame, van: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_bounded_broadcast(spark):
     assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString() or hinted.count() == 10
     unhinted = O.bounded_broadcast(small, 5)
     assert unhinted.count() == 10
+
+
+def test_rename_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert O.rename_columns(df, {"a": "x", "zz": "y"}).columns == ["x", "b"]
+    with pytest.raises(KeyError):
+        O.rename_columns(df, {"zz": "y"}, strict=True)
+
+
+def test_calendar_matches_timestamps_by_day(spark):
+    fact = spark.createDataFrame([("2026-01-05 13:45:00",)], "ts string").select(
+        F.col("ts").cast("timestamp").alias("txn_date"))
+    cal = spark.createDataFrame([("2026-01-05", 2)], "d string, week int").select(
+        F.col("d").cast("date").alias("txn_date"), "week")
+    assert [r.week for r in O.attach_calendar(fact, cal).collect()] == [2]
