@@ -51,14 +51,15 @@ def lookup(
     return fact.join(renamed, cond, how).drop(*[f"__dim_{k}" for k in keys])
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``dim`` only when it provably has at most ``max_rows`` rows.
+def bounded_broadcast(dim: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
+    """Broadcast ``dim`` only when it provably has at most ``max_rows`` rows and
+    at most ``max_bytes`` of Parquet on disk.
 
     The dimension is computed once and written as a Parquet table in the shared
     scratch folder (``spark.checkpoint.dir``): lost executors cannot lose it, its
-    lineage is cut, and the planner sees its real file size. It is then counted
-    from there. Within the bound the result carries a broadcast hint; beyond it
-    no hint is given and the join sort-merges.
+    lineage is cut, and the planner sees its real file size. Rows are counted
+    and bytes summed from there. Within both bounds the result carries a
+    broadcast hint; beyond either no hint is given and the join sort-merges.
     """
     import uuid
 
@@ -67,7 +68,12 @@ def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
     spark = dim.sparkSession
     path = f"{scratch_dir(spark)}/materialised/{uuid.uuid4().hex}"
     dim.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    size = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
     materialised = spark.read.parquet(path)
+    if size > max_bytes:
+        return materialised
     rows = materialised.count()
     return F.broadcast(materialised) if rows <= max_rows else materialised
 

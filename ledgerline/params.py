@@ -56,8 +56,9 @@ class Params:
     facilities: tuple[str, ...] = FACILITIES
     van_channel: str = VAN_CHANNEL
     booking_channel: str = BOOKING_CHANNEL
-    # Largest price reference (rows) that is broadcast to the fact joins.
-    broadcast_max_rows: int = 2_000_000
+    # Largest price reference that is broadcast to the fact joins (rows; Parquet bytes).
+    broadcast_max_rows: int = 1_000_000
+    broadcast_max_bytes: int = 256 << 20
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):

@@ -107,9 +107,10 @@ def enrich(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -
 
 def case_prices(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
     """Case-price reference ``(sku, nonvan_price, van_price)``, checkpointed and broadcast
-    to the fact joins when its row count is within ``params.broadcast_max_rows``."""
+    to the fact joins when it is within ``params.broadcast_max_rows`` rows and
+    ``params.broadcast_max_bytes`` bytes."""
     nonvan, van = price_lists(refs["price"], params)
-    return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows)
+    return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows, params.broadcast_max_bytes)
 
 
 def _prices(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None) -> DataFrame:

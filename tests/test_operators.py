@@ -122,11 +122,15 @@ def test_keep_token_modes(spark):
 
 def test_bounded_broadcast(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    hinted = big.join(O.bounded_broadcast(small, 100), "k")
-    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString() or hinted.count() == 10
-    unhinted = O.bounded_broadcast(small, 5)
-    assert unhinted.count() == 10
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(O.bounded_broadcast(small, 100))
+    by_rows = O.bounded_broadcast(small, 5)
+    by_bytes = O.bounded_broadcast(small, 100, max_bytes=10)
+    assert not hinted(by_rows) and not hinted(by_bytes)
+    assert by_rows.count() == 10 and by_bytes.count() == 10
 
 
 def test_rename_columns(spark):
