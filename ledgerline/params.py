@@ -6,7 +6,7 @@ defaults: each deployment supplies its own.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from decimal import Decimal
 
 # Codes written by the distributor management system that the
@@ -59,7 +59,6 @@ class Params:
     # Largest price reference that is broadcast to the fact joins (rows; Parquet bytes).
     broadcast_max_rows: int = 1_000_000
     broadcast_max_bytes: int = 256 << 20
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.token_mode not in ("Y", "N"):

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerline import params as P
 from ledgerline.functions import facility_code, with_vat
-from ledgerline.operators import deduct, deduct_orders, exclude_value, keep_value, pivot_sum
+from ledgerline.operators import combine_prices, deduct, deduct_orders, exclude_value, keep_value, pivot_sum
+
 
 def zero():
     """Decimal 0 of the money type."""
     return F.lit(0).cast("decimal(12,2)")
 
+
 RETURN_PIVOT_KEYS = ["txn_date", "customer_id", "sku", "sku_name", "uom", "qty"]
 
 
@@ -81,4 +83,4 @@ def price_reference(nonvan_list: DataFrame, van_list: DataFrame) -> DataFrame:
     """``(sku, nonvan_price, van_price)``: case prices of both lists, full outer on SKU."""
     a = nonvan_list.select("sku", F.col("case_price").alias("nonvan_price"))
     b = van_list.select("sku", F.col("case_price").alias("van_price"))
-    return a.join(b, "sku", "full_outer")
+    return combine_prices(a, b)

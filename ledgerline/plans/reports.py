@@ -189,4 +189,7 @@ def product_catalogue(refs: Mapping[str, DataFrame]) -> DataFrame:
     ret = ret.filter(keep).select("sku", "sku_name", F.lit(1).alias("source"))
     so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]).select(
         "sku", "sku_name", F.lit(2).alias("source"))
-    return first_per_key(union_all([inv, ret, so]), ["sku"], ["source", "sku_name"]).select("sku", "sku_name")
+    # Distinct (sku, source, name) first: a hash aggregate that shrinks the input
+    # map-side before the sort-based first-per-key.
+    names = union_all([inv, ret, so]).distinct()
+    return first_per_key(names, ["sku"], ["source", "sku_name"]).select("sku", "sku_name")

@@ -2,7 +2,6 @@
 
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from ledgerline.functions import (
     date_label,

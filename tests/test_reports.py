@@ -3,7 +3,6 @@
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerline.plans import (
     customer_master,

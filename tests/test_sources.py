@@ -4,7 +4,6 @@ import os
 import tempfile
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.sources import ingest_workbooks, read_report, read_table, report_label, required_values, write_report
