@@ -11,11 +11,12 @@ from ledgerline.operators.joins import (
     lookup,
     only_deducted,
 )
-from ledgerline.operators.quality import existing_categories, key_fanout, uncategorized
+from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, uncategorized
 from ledgerline.operators.setops import union_all, upsert
 from ledgerline.operators.window import first_per_key
 
 __all__ = [
+    "assert_unique",
     "attach_calendar",
     "bounded_broadcast",
     "combine_prices",

@@ -34,3 +34,14 @@ def key_fanout(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("rows")).select(
         F.lit(name).alias("metric"), "rows"
     )
+
+
+def assert_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> None:
+    """Raise when a reference repeats a key (a join on it would fan facts out).
+
+    One aggregate job; run it on references before the reports when duplicates
+    must stop the run rather than be counted.
+    """
+    surplus = key_fanout(df, keys, name).first()["rows"]
+    if surplus:
+        raise ValueError(f"{name}: {surplus} surplus rows share a key in {list(keys)}")

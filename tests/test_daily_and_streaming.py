@@ -15,6 +15,7 @@ def test_run_daily_writes_every_report(spark, params):
     out = tempfile.mkdtemp(prefix="ll-daily-")
     written = run_daily(tables(spark), params, out, "2026-01-06")
     names = {os.path.basename(p) for p in written}
+    assert written[f"{out}/served_invoice"] == 3 and written[f"{out}/customer_master"] == 4
     assert {"net_invoiced", "sales_order", "served_invoice", "customer_master", "net_sellout",
             "price_list_nonvan", "price_list_van", "new_skus", "loss_metrics"} <= names
     assert read_report(spark, f"{out}/served_invoice", "2026-01-06").count() == 3

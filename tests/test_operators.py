@@ -146,3 +146,9 @@ def test_calendar_matches_timestamps_by_day(spark):
     cal = spark.createDataFrame([("2026-01-05", 2)], "d string, week int").select(
         F.col("d").cast("date").alias("txn_date"), "week")
     assert [r.week for r in O.attach_calendar(fact, cal).collect()] == [2]
+
+
+def test_assert_unique(spark):
+    O.assert_unique(spark.createDataFrame([("a",), ("b",), (None,), (None,)], "k string"), ["k"])
+    with pytest.raises(ValueError):
+        O.assert_unique(spark.createDataFrame([("a",), ("a",)], "k string"), ["k"], "category")
