@@ -83,7 +83,7 @@ def workbook_ingest_q(spark, sf_dir):
     path = f"{scratch_dir(spark)}/workbooks/customer-{uuid.uuid4().hex}"
     cust = t.customer
     write_workbooks(cust.repartition(4), path).collect()
-    return ingest_workbooks(spark, f"{path}/*.xlsx", cust.schema).drop("source_file")
+    return ingest_workbooks(spark, path, cust.schema).drop("source_file")
 
 
 # --- filters and scalar functions -------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +58,26 @@ def scratch_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerline`` importable in the Python workers, once per application.
+
+    Only the workbook operators run Python on executors; functions defined in
+    this package are pickled by reference, so the workers need the package. It
+    is zipped and handed to ``addPyFile``, which distributes it with the job.
+    """
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if sc.applicationId in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out = tempfile.mkdtemp(prefix="ledgerline-pyfiles-")
+        archive = shutil.make_archive(os.path.join(out, "ledgerline"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                      base_dir=os.path.basename(pkg_dir))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
