@@ -13,9 +13,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import params as P
 from ledgerline.functions import parse_created_date
 from ledgerline.operators import key_fanout, union_all
-from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders, returns_pivot
+from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders
 
 
 def _count(df: DataFrame, metric: str, cond=None) -> DataFrame:
@@ -42,7 +43,11 @@ def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
     parts = [
         returns_lost,
         _not_in_calendar(clean_invoices(refs["invoice"], refs["deductions"]), cal, "invoices_not_in_calendar"),
-        _not_in_calendar(returns_pivot(refs["returns"], refs["deductions"]), cal, "returns_not_in_calendar"),
+        # A pivot row's date is one of its keys: count the distinct keys of the
+        # surviving return lines whose date is missing, without building the pivot.
+        _count(ret.filter(~key_missing & F.col("facility_class").isin(list(P.FACILITIES)))
+               .join(cal.select("txn_date"), "txn_date", "left_anti")
+               .select(*RETURN_PIVOT_KEYS).distinct(), "returns_not_in_calendar"),
         _not_in_calendar(invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]), cal,
                          "orders_not_in_calendar"),
         _count(refs["customer"], "created_date_rejects", parse_created_date("created").isNull()),
