@@ -3,16 +3,9 @@
 from datetime import date
 from decimal import Decimal as D
 
-INVOICE = "txn_date date, customer_id string, customer_name string, sku string, item_code string, sku_name string, " \
-          "uom string, qty decimal(12,2), amount decimal(12,2), item_type string, doc_no string, order_no string, " \
-          "rep_id string"
-RETURNS = "txn_date date, doc_no string, rep_id string, customer_id string, customer_name string, sku string, " \
-          "sku_name string, facility string, amount decimal(12,2), uom string, qty decimal(12,2), return_type string"
-SALES_ORDER = "txn_date date, customer_id string, sku string, sku_name string, uom string, qty decimal(12,2), " \
-              "amount decimal(12,2), status string, order_no string"
-CUSTOMER = "customer_id string, customer_name string, customer_class string, account_group string, rep_id string, " \
-           "rep_name string, branch string, barangay string, city string, province string, channel string, " \
-           "status string, retail_env string, created string"
+from ledgerline.schemas import DDL
+
+INVOICE, RETURNS, SALES_ORDER, CUSTOMER = DDL["invoice"], DDL["returns"], DDL["sales_order"], DDL["customer"]
 
 D1, D2, SUNDAY = date(2026, 1, 5), date(2026, 1, 6), date(2026, 1, 4)
 

@@ -69,3 +69,19 @@ def test_workbook_positional_columns(spark):
                            T.StructField("classification", T.StringType())])
     out = ingest_workbooks(spark, folder, schema, header_row=3, by_position=True).drop("source_file")
     assert sorted(map(tuple, out.dropna().collect())) == [("RETAIL", "CL-R")]
+
+
+def test_landed_extracts_conform_to_schemas(spark):
+    from ledgerline.demo.tables import DemoTables
+    from ledgerline.schemas import TABLES, schema
+
+    t = DemoTables(spark, "/root/testdata/sf0.001")
+    for name in TABLES:
+        got = {f.name: f.dataType.simpleString() for f in t[name].schema.fields}
+        want = {f.name: f.dataType.simpleString() for f in schema(name).fields}
+        assert set(got) == set(want), name
+        for col, typ in want.items():
+            if typ.startswith("decimal"):
+                assert got[col].startswith("decimal"), (name, col)
+            else:
+                assert got[col] == typ, (name, col)
