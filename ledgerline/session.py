@@ -70,6 +70,8 @@ def ship_package(spark: SparkSession) -> None:
     Only the workbook operators run Python on executors; functions defined in
     this package are pickled by reference, so the workers need the package. It
     is zipped and handed to ``addPyFile``, which distributes it with the job.
+    The zip is a driver-side code artifact that Spark itself ships to every
+    executor; no data is stored there.
     """
     sc = spark.sparkContext
     with _SHIP_LOCK:
