@@ -2,6 +2,8 @@
 
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from ledgerline.plans import (
@@ -106,3 +108,20 @@ def test_no_python_in_report_plans(t, params):
     for df in (net_invoiced(t, params), served_invoice(t, params), customer_master(t, params)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(k in plan for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"))
+
+
+def test_category_versions(spark, t):
+    import tempfile
+
+    from ledgerline.operators import uncategorized
+    from ledgerline.plans.categories import latest_categories, publish_categories
+
+    path = tempfile.mkdtemp(prefix="ll-cat-")
+    publish_categories(t["category"].filter(F.col("sku") != "200"), t["category"].limit(0), path, "v0001")
+    missing = uncategorized(product_catalogue(t), latest_categories(spark, path))
+    assert sorted(r.sku for r in missing.collect()) == ["200"]
+    fixes = missing.withColumn("category", F.lit("Things"))
+    assert publish_categories(latest_categories(spark, path), fixes, path, "v0002") == 3
+    now = latest_categories(spark, path)
+    assert {r.sku: r.category for r in now.collect()}["200"] == "Things"
+    assert uncategorized(product_catalogue(t), now).count() == 0
