@@ -57,25 +57,27 @@ def bounded_broadcast(dim: DataFrame, max_rows: int, max_bytes: int = 256 << 20)
 
     The dimension is computed once and written as a Parquet table in the shared
     scratch folder (``spark.checkpoint.dir``): lost executors cannot lose it, its
-    lineage is cut, and the planner sees its real file size. Rows are counted
-    and bytes summed from there. Within both bounds the result carries a
-    broadcast hint; beyond either no hint is given and the join sort-merges.
+    lineage is cut, and the planner sees its real file size. Rows are counted by
+    the write job itself and bytes summed from the written files. Within both
+    bounds the result carries a broadcast hint; beyond either no hint is given
+    and the join sort-merges.
     """
     import uuid
 
+    from pyspark.sql import Observation
+
     from ledgerline.session import scratch_dir
 
     spark = dim.sparkSession
     path = f"{scratch_dir(spark)}/materialised/{uuid.uuid4().hex}"
-    dim.write.parquet(path)
+    seen = Observation()
+    dim.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    rows = int(seen.get["rows"])
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     size = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
     materialised = spark.read.parquet(path)
-    if size > max_bytes:
-        return materialised
-    rows = materialised.count()
-    return F.broadcast(materialised) if rows <= max_rows else materialised
+    return F.broadcast(materialised) if rows <= max_rows and size <= max_bytes else materialised
 
 
 def attach_calendar(fact: DataFrame, calendar: DataFrame, date_col: str = "txn_date") -> DataFrame:
