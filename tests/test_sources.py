@@ -15,7 +15,7 @@ def test_report_partitions_overwrite_one_date(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert write_report(df, path, "2026-01-02") == 2
     assert write_report(df.filter("v = 1"), path, "2026-01-03", sort_by=["k"]) == 1
-    write_report(df, path, "2026-01-03")  # rerun replaces only that date
+    write_report(df, path, "2026-01-03", sort_by=["k"], global_order=False)  # rerun replaces only that date
     assert read_report(spark, path, "2026-01-02").count() == 2
     assert read_report(spark, path, "2026-01-03").count() == 2
     assert read_report(spark, path).count() == 4
