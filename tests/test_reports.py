@@ -125,3 +125,29 @@ def test_category_versions(spark, t):
     now = latest_categories(spark, path)
     assert {r.sku: r.category for r in now.collect()}["200"] == "Things"
     assert uncategorized(product_catalogue(t), now).count() == 0
+
+
+def test_catalogue_name_precedence(spark, t):
+    from datetime import date
+    from decimal import Decimal as Dec
+
+    from tests.fixtures import INVOICE, RETURNS, SALES_ORDER
+
+    d = date(2026, 1, 5)
+    t2 = dict(t)
+    t2["invoice"] = spark.createDataFrame(
+        [(d, "C1", "One", "S9", "X", "inv-name", "Case", Dec(1), Dec(1), "ITM_GOODS", "I9", "O9", "E1")], INVOICE)
+    t2["returns"] = spark.createDataFrame([
+        (d, "R9", "E1", "C1", "One", "S9", "ret-name", "MAIN BO", Dec(1), "Case", Dec(1), None),
+        (d, "R8", "E1", "C1", "One", "S8", "ret-b", "MAIN BO", Dec(1), "Case", Dec(1), None),
+        (d, "R7", "E1", "C1", "One", "S8", "ret-a", "MAIN FG", Dec(1), "Case", Dec(1), None),
+        (d, "R6", "E1", "C1", "One", "S7", "ret-x", "FG_1", Dec(1), "Case", Dec(1), None),  # not pivoted
+    ], RETURNS)
+    t2["sales_order"] = spark.createDataFrame([
+        (d, "C1", "S9", "so-name", "Case", Dec(1), Dec(1), "Invoiced", "O9"),
+        (d, "C1", "S8", "so-name", "Case", Dec(1), Dec(1), "Invoiced", "O8"),
+        (d, "C1", "S7", "so-only", "Case", Dec(1), Dec(1), "Invoiced", "O7"),
+    ], SALES_ORDER)
+    t2["deductions"] = spark.createDataFrame([], "invoice_key string, return_key string")
+    got = {r.sku: r.sku_name for r in product_catalogue(t2).collect()}
+    assert got == {"S9": "inv-name", "S8": "ret-a", "S7": "so-only"}
