@@ -20,6 +20,7 @@ def reports_on_arrival(
     out_root: str,
     trigger_table: str = "invoice",
     checkpoint: str | None = None,
+    global_order: bool = True,
 ) -> StreamingQuery:
     """Start a query that runs :func:`run_daily` once per newly landed report date.
 
@@ -39,7 +40,7 @@ def reports_on_arrival(
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         dates = sorted(str(r[0]) for r in batch.select("report_date").distinct().collect())
         for d in dates:
-            run_daily(build_refs(d), params, out_root, d)
+            run_daily(build_refs(d), params, out_root, d, global_order=global_order)
 
     return (
         spark.readStream.schema(schema).parquet(src)
