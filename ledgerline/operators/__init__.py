@@ -11,7 +11,7 @@ from ledgerline.operators.joins import (
     lookup,
     only_deducted,
 )
-from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, uncategorized
+from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, key_fanouts, uncategorized
 from ledgerline.operators.setops import union_all, upsert
 from ledgerline.operators.window import first_per_key
 
@@ -29,6 +29,7 @@ __all__ = [
     "keep_token",
     "keep_value",
     "key_fanout",
+    "key_fanouts",
     "lookup",
     "missing_counts",
     "non_null_counts",

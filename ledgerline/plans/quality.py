@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import params as P
 from ledgerline.functions import parse_created_date
-from ledgerline.operators import key_fanout, union_all
+from ledgerline.operators import key_fanouts, union_all
 from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders
 
 
@@ -51,10 +51,12 @@ def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
         _not_in_calendar(invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]), cal,
                          "orders_not_in_calendar"),
         _count(refs["customer"], "created_date_rejects", parse_created_date("created").isNull()),
-        key_fanout(refs["customer"], ["customer_id"], "customer_key_fanout"),
-        key_fanout(refs["category"], ["sku"], "category_key_fanout"),
-        key_fanout(refs["supervisor"], ["rep_id"], "supervisor_key_fanout"),
-        key_fanout(refs["free_goods"], ["sku"], "free_goods_key_fanout"),
-        key_fanout(refs["calendar"], ["txn_date"], "calendar_key_fanout"),
+        key_fanouts({
+            "customer_key_fanout": (refs["customer"], "customer_id"),
+            "category_key_fanout": (refs["category"], "sku"),
+            "supervisor_key_fanout": (refs["supervisor"], "rep_id"),
+            "free_goods_key_fanout": (refs["free_goods"], "sku"),
+            "calendar_key_fanout": (refs["calendar"], "txn_date"),
+        }),
     ]
     return union_all(parts)

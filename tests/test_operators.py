@@ -152,3 +152,10 @@ def test_assert_unique(spark):
     O.assert_unique(spark.createDataFrame([("a",), ("b",), (None,), (None,)], "k string"), ["k"])
     with pytest.raises(ValueError):
         O.assert_unique(spark.createDataFrame([("a",), ("a",)], "k string"), ["k"], "category")
+
+
+def test_key_fanouts_together(spark):
+    a = spark.createDataFrame([("x",), ("x",), ("x",), ("y",), (None,), (None,)], "k string")
+    b = spark.createDataFrame([("p",)], "k string")
+    out = {r.metric: r.rows for r in O.key_fanouts({"a": (a, "k"), "b": (b, "k")}).collect()}
+    assert out == {"a": 2, "b": 0}
