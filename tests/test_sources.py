@@ -85,3 +85,12 @@ def test_landed_extracts_conform_to_schemas(spark):
                 assert got[col].startswith("decimal"), (name, col)
             else:
                 assert got[col] == typ, (name, col)
+
+
+def test_workbook_export_splits_files_by_row_limit(spark):
+    folder = tempfile.mkdtemp(prefix="ll-xlsx-")
+    df = spark.range(25).selectExpr("cast(id as string) as id").coalesce(1)
+    written = write_workbooks(df, folder, rows_per_file=10).collect()
+    assert sorted(r.rows for r in written) == [5, 10, 10]
+    back = ingest_workbooks(spark, folder, df.schema)
+    assert sorted(int(r.id) for r in back.collect()) == list(range(25))
