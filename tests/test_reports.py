@@ -151,3 +151,22 @@ def test_catalogue_name_precedence(spark, t):
     t2["deductions"] = spark.createDataFrame([], "invoice_key string, return_key string")
     got = {r.sku: r.sku_name for r in product_catalogue(t2).collect()}
     assert got == {"S9": "inv-name", "S8": "ret-a", "S7": "so-only"}
+
+
+def test_same_results_without_any_broadcast(spark, t, params):
+    from dataclasses import replace
+
+    base = sorted(map(tuple, net_invoiced(t, params).collect()), key=str)
+    no_bcast = replace(params, broadcast_max_rows=0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = net_invoiced(t, no_bcast)
+        rows = sorted(map(tuple, df.collect()), key=str)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert rows == base
