@@ -159,3 +159,32 @@ def test_key_fanouts_together(spark):
     b = spark.createDataFrame([("p",)], "k string")
     out = {r.metric: r.rows for r in O.key_fanouts({"a": (a, "k"), "b": (b, "k")}).collect()}
     assert out == {"a": 2, "b": 0}
+
+
+def test_hot_customer_join_is_split_by_aqe(spark):
+    facts = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("C"), (F.col("id") % 97).cast("string")))
+        .alias("customer_id"), F.col("id").alias("line"))
+    dim = spark.range(97).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("customer_id"),
+                                 F.lit("x").alias("channel")).unionByName(
+        spark.range(1).select(F.lit("HOT").alias("customer_id"), F.lit("hot").alias("channel")))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = O.lookup(facts.repartition(8), dim, "customer_id", ["channel"])
+        rows = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 3000 and sum(r.channel == "hot" for r in rows) == 1000
+    assert "skew=true" in plan
