@@ -78,6 +78,9 @@ def price_lists(price: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]
     """
     p = price.withColumn("price_vat", with_vat("price"))
     p = exclude_value(p, "price_class", P.EXCLUDED_PRICE_CLASS)
+    # One hash partitioning by SKU serves both the (sku, name) pivots and the
+    # SKU join of the two lists: one shuffle per list instead of two.
+    p = p.repartition("sku")
     names = dict(zip(params.price_uoms, ["case_price", "subcase_price", "piece_price"]))
 
     def pivot(df: DataFrame) -> DataFrame:
