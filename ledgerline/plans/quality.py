@@ -24,9 +24,15 @@ def _count(df: DataFrame, metric: str, cond=None) -> DataFrame:
     return df.agg(agg.cast("bigint").alias("rows")).select(F.lit(metric).alias("metric"), "rows")
 
 
-def _not_in_calendar(df: DataFrame, calendar: DataFrame, metric: str) -> DataFrame:
-    missing = df.select("txn_date").join(calendar.select("txn_date"), "txn_date", "left_anti")
-    return _count(missing, metric)
+def _not_in_calendar_tagged(facts: Mapping[str, DataFrame], calendar: DataFrame) -> DataFrame:
+    """Rows ``(metric, rows)``: fact rows per tag whose date is not in the calendar, in one aggregate."""
+    tagged = union_all([df.select(F.lit(name).alias("metric"), "txn_date") for name, df in facts.items()])
+    missing = tagged.join(calendar.select("txn_date"), "txn_date", "left_anti").groupBy("metric").agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"))
+    spark = calendar.sparkSession
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in facts])).alias("metric"))
+    return names.join(missing, "metric", "left").select("metric", F.coalesce("rows", F.lit(0)).cast("bigint")
+                                                        .alias("rows"))
 
 
 def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
@@ -42,14 +48,15 @@ def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
     ).unpivot([], ["returns_missing_pivot_key", "returns_unknown_facility"], "metric", "rows")
     parts = [
         returns_lost,
-        _not_in_calendar(clean_invoices(refs["invoice"], refs["deductions"]), cal, "invoices_not_in_calendar"),
+        _not_in_calendar_tagged({
+            "invoices_not_in_calendar": clean_invoices(refs["invoice"], refs["deductions"]),
+            "orders_not_in_calendar": invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]),
+        }, cal),
         # A pivot row's date is one of its keys: count the distinct keys of the
         # surviving return lines whose date is missing, without building the pivot.
         _count(ret.filter(~key_missing & F.col("facility_class").isin(list(P.FACILITIES)))
                .join(cal.select("txn_date"), "txn_date", "left_anti")
                .select(*RETURN_PIVOT_KEYS).distinct(), "returns_not_in_calendar"),
-        _not_in_calendar(invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]), cal,
-                         "orders_not_in_calendar"),
         _count(refs["customer"], "created_date_rejects", parse_created_date("created").isNull()),
         key_fanouts({
             "customer_key_fanout": (refs["customer"], "customer_id"),
