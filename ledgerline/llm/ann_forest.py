@@ -38,7 +38,7 @@ class ForestParams:
     trees: int = 8
     leaf_rows: int = 128
     sample_rows: int = 20_000
-    share: float = 0.75
+    share: float = 0.9
     block_rows: int = 4096
     seed: int = 5
 

@@ -24,6 +24,8 @@ from ledgerline.llm.common import stage, word_count
 
 MAX_PATTERNS = 100_000
 HASH_BITS = 12
+# Rows looked at to fill what the run in hash order leaves open.
+FILL_ROWS = 64
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -176,8 +178,8 @@ def mix(docs: DataFrame, keep: list[str], weights: list[float], sources: str = "
 def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Give ``_whole`` repetitions to every row and one more to rows that together have about ``_rest`` words.
 
-    The extra rows are the longest run in hash order that fits, and the one further
-    row whose size comes nearest to what the run leaves open. Hash ranges are summed
+    The extra rows are the longest run in hash order that fits, and a few further rows
+    that fill most of what the run leaves open. Hash ranges are summed
     first; only the range in which the run ends is ordered row by row, so no task ever
     holds a whole pattern.
     """
@@ -196,14 +198,17 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     outside = rows.filter("_edge is null or _bucket <> _edge").withColumn("_extra", F.expr("coalesce(_bucket < _edge, false)"))
     chosen = inside.drop("_at").unionByName(outside)
 
-    free = chosen.filter("not _extra and size > 0").join(gaps, "_pattern")
-    nearest = free.groupBy("_pattern").agg(F.min(F.struct(F.expr("abs(size - _gap) as off"), "_order", "_gap")).alias("b"))
-    nearest = nearest.filter("b.off < b._gap").select("_pattern", F.col("b._order").alias("_fill"))
-    nearest = stage(nearest, "mix-fills")
-    chosen = chosen.join(nearest, "_pattern", "left")
-    last = F.expr("row_number() over (partition by _pattern order by size)") == 1  # equal rows share a place: only one of them
-    fills = chosen.filter("_order = _fill and not _extra and size > 0").withColumn("_extra", last)
-    others = chosen.filter("_fill is null or _order <> _fill or _extra or size = 0")
+    # Of the first rows after the run that are small enough, the largest that still fit, one after the other.
+    free = chosen.join(gaps, "_pattern").filter("not _extra and 0 < size and size <= _gap")
+    free = free.select("_pattern", "_gap", "_order", "size").withColumn("_n", F.expr("dense_rank() over (partition by _pattern order by _order)"))
+    free = free.filter(F.col("_n") <= FILL_ROWS).dropDuplicates(["_pattern", "_order"])
+    lists = free.groupBy("_pattern", "_gap").agg(F.sort_array(F.collect_list(F.struct("size", "_order")), asc=False).alias("l"))
+    start = F.struct(F.col("_gap").alias("left"), F.array().cast("array<bigint>").alias("at"))
+    take = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"),
+                                 F.array_append(acc["at"], x["_order"]).alias("at"))).otherwise(acc)
+    filling = stage(lists.select("_pattern", F.aggregate("l", start, take, lambda acc: acc["at"]).alias("_fill")), "mix-fills")
+    chosen = chosen.join(filling, "_pattern", "left").withColumn("_fits", F.expr("not _extra and coalesce(array_contains(_fill, _order), false)"))
+    last = F.expr("row_number() over (partition by _pattern, _order order by size)") == 1  # of equal rows only one
+    out = chosen.filter("_fits").withColumn("_extra", last).unionByName(chosen.filter("not _fits"))
     epochs = F.when(F.col("size") > 0, F.col("_whole") + F.col("_extra").cast("int")).otherwise(0).cast("int")
-    out = fills.unionByName(others).withColumn("epochs", epochs)
-    return out.select("_row", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    return out.withColumn("epochs", epochs).select("_row", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
