@@ -1,10 +1,11 @@
 """Operator 7: main text by a tree-structured graphical model over the DOM.
 
 Every element is a binary node (content or not). Unary potentials are naive Bayes
-over tag, class and id words, text length and link density; a potential between
-parent and child says how often content and boilerplate nest. Sum-product messages
-run upward and downward once, and a text block is kept if its element's content
-marginal is over one half. The potentials are counted on labelled pages.
+over tag, class and id words, text length and link density; potentials between
+parent and child say how content and boilerplate nest, apart for children that name
+themselves as one or the other. Sum-product messages run upward and downward once,
+and a text block is kept if its element's content marginal is over one half. The
+potentials are counted on labelled pages.
 
 Labels come from unambiguous pages: elements below an article or main element are
 content, except below elements that name themselves as menus, notices, comments
@@ -51,8 +52,12 @@ OUTSIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb",
                  "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 INSIDE_TAGS = {"article", "main"}
 INSIDE_WORDS = {"article", "body", "content", "entry", "main", "post", "story"}
-# Each listed name enters the counts as so many observed elements of its class.
-PRIOR_WEIGHT = 20.0
+# How an element names itself decides which parent-child potential applies.
+GENERIC, NAMED_OUTSIDE, NAMED_INSIDE = 0, 1, 2
+# Share of every class that each feature is given beforehand: one feature counts for 1 / FEATURE_PRIOR at most.
+FEATURE_PRIOR = 0.2
+# Elements of a kind's overall mix that are added to each parent state, and to the kind itself for its class.
+PAIR_PRIOR, KIND_PRIOR = 5.0, 50.0
 
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
@@ -164,6 +169,12 @@ def outside(node: Node) -> bool:
     return node.tag in OUTSIDE_TAGS or not OUTSIDE_WORDS.isdisjoint(node.names)
 
 
+def kind(node: Node) -> int:
+    if outside(node):
+        return NAMED_OUTSIDE
+    return NAMED_INSIDE if node.tag in INSIDE_TAGS or not INSIDE_WORDS.isdisjoint(node.names) else GENERIC
+
+
 def labels(page: Page) -> list[int] | None:
     """1 for content elements, 0 for others; None if the page does not tell."""
     if not any(n.tag in INSIDE_TAGS for n in page.nodes):
@@ -177,11 +188,11 @@ def labels(page: Page) -> list[int] | None:
 
 @dataclass
 class TreeModel:
-    """Log potentials: per feature (other, content), per child state given the parent's, and for the root."""
+    """Log potentials: per feature (other, content), per child kind and state given the parent's, and for the root."""
 
     unary: dict[str, tuple[float, float]]
     unseen: tuple[float, float]
-    pair: list[list[float]]
+    pair: list[list[list[float]]]
     root: tuple[float, float]
 
     def marginals(self, page: Page) -> list[float]:
@@ -199,16 +210,17 @@ class TreeModel:
         belief = [list(x) for x in own]  # own potential and all messages from below
         up: list[tuple[float, float]] = [(0.0, 0.0)] * n
         for k in range(n - 1, 0, -1):  # children come after their parents
-            b = belief[k]
-            up[k] = (_add(self.pair[0][0] + b[0], self.pair[0][1] + b[1]), _add(self.pair[1][0] + b[0], self.pair[1][1] + b[1]))
+            b, pair = belief[k], self.pair[kind(page.nodes[k])]
+            up[k] = (_add(pair[0][0] + b[0], pair[0][1] + b[1]), _add(pair[1][0] + b[0], pair[1][1] + b[1]))
             above = belief[page.nodes[k].parent]
             above[0] += up[k][0]
             above[1] += up[k][1]
         for k in range(1, n):
             above = belief[page.nodes[k].parent]  # by now with the message from above
             a, b = above[0] - up[k][0], above[1] - up[k][1]
-            belief[k][0] += _add(a + self.pair[0][0], b + self.pair[1][0])
-            belief[k][1] += _add(a + self.pair[0][1], b + self.pair[1][1])
+            pair = self.pair[kind(page.nodes[k])]
+            belief[k][0] += _add(a + pair[0][0], b + pair[1][0])
+            belief[k][1] += _add(a + pair[0][1], b + pair[1][1])
         return [1 / (1 + math.exp(min(700.0, b[0] - b[1]))) for b in belief]
 
 
@@ -218,12 +230,10 @@ def _add(a: float, b: float) -> float:
 
 
 def train(pages: list[str]) -> TreeModel:
-    """Count the potentials on labelled pages, with one added observation each and the fixed names' prior."""
+    """Count the potentials on labelled pages, over the priors above."""
     seen: Counter = Counter()
-    pair, state = [[1.0, 1.0], [1.0, 1.0]], [1.0, 1.0]
-    for tags, words, y in ((OUTSIDE_TAGS, OUTSIDE_WORDS, 0), (INSIDE_TAGS, INSIDE_WORDS, 1)):
-        for f in [f"t:{t}" for t in tags] + [f"n:{w}" for w in words]:
-            seen[f, y] += PRIOR_WEIGHT
+    state = [1.0, 1.0]
+    pair = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)]
     for html in pages:
         page = Page(html)
         found = labels(page)
@@ -232,15 +242,23 @@ def train(pages: list[str]) -> TreeModel:
         for k, y in enumerate(found):
             state[y] += 1
             if k:
-                pair[found[page.nodes[k].parent]][y] += 1
+                pair[kind(page.nodes[k])][found[page.nodes[k].parent]][y] += 1
             for f in features(page, k):
                 seen[f, y] += 1
-    names = {f for f, _ in seen}
-    rate = lambda f, y: math.log((seen[f, y] + 1) / (state[y] + PRIOR_WEIGHT + 2))
+    rate = lambda f, y: math.log((seen[f, y] / state[y] + FEATURE_PRIOR) / (1 + FEATURE_PRIOR))
+    logs = []
+    for which, rows in enumerate(pair):
+        mix = [rows[0][y] + rows[1][y] + 1 for y in (0, 1)]
+        if which != GENERIC:
+            mix[which == NAMED_INSIDE] += KIND_PRIOR
+        own = [[(rows[x][y] + PAIR_PRIOR * mix[y] / sum(mix)) for y in (0, 1)] for x in (0, 1)]
+        if which == GENERIC:  # without any labelled page, elements still follow their parents
+            own[0][0], own[1][1] = own[0][0] + KIND_PRIOR, own[1][1] + KIND_PRIOR
+        logs.append([[math.log(v / sum(row)) for v in row] for row in own])
     return TreeModel(
-        unary={f: (rate(f, 0), rate(f, 1)) for f in names},
+        unary={f: (rate(f, 0), rate(f, 1)) for f in {f for f, _ in seen}},
         unseen=(0.0, 0.0),
-        pair=[[math.log(v / sum(row)) for v in row] for row in pair],
+        pair=logs,
         root=(math.log(0.99), math.log(0.01)),
     )
 

@@ -1,0 +1,144 @@
+"""Main text, WARC derivatives and nearest neighbours."""
+
+import gzip
+import html
+import itertools
+import math
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import ann_forest, html_tree, warc
+from ledgerline.llm.queries import WARC_DATE, op2_projection_forest, op7_dom_sum_product, op9_warc_derivatives
+
+
+@pytest.fixture(scope="module")
+def pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+
+
+def article(page):
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1].replace("<br>", " ")
+    blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_main_text_of_the_pages(spark, sf_dir, pages):
+    got = {r.page_id: r for r in op7_dom_sum_product(spark, sf_dir).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        assert got[p.page_id].text == article(p.html) and got[p.page_id].n_chars == len(got[p.page_id].text)
+
+
+OTHER_PAGE = """<body><header><a href=/>Home</a></header><div class="cookie-notice">We use cookies</div>
+<div id=sidebar><ul><li>Related</ul></div><main><h1>Title &amp; more</h1><p>First   paragraph of the story.
+<p>Second &lt;one&gt;, with <b>bold</b> text.<script>x='<p>no</p>'</script><form><label>Mail</label></form>
+<ul><li>item one<li>item two</ul></main><div class="comments"><p>A reader writes a long comment here.</div><footer>(c)</footer>"""
+
+
+def test_other_layouts_and_odd_html(spark, pages):
+    model = html_tree.train([p.html for p in pages])
+    assert html_tree.main_text(OTHER_PAGE, model) == (
+        "Title & more\n\nFirst paragraph of the story.\n\nSecond <one>, with bold text.\n\nitem one\n\nitem two")
+    for page in (None, "", "<", "<p", "</p></div>", "<!-- a", "<div " * 500, "<b>" * 3000 + "x"):
+        assert isinstance(html_tree.main_text(page, model), str)
+    frame = spark.createDataFrame([(1, None, "t"), (None, "", "t"), (2, OTHER_PAGE, None), (2, OTHER_PAGE, None)], "page_id long, html string, text string")
+    got = html_tree.extract(frame, ["page_id"]).collect()
+    assert len(got) == 4 and sum(r.n_chars > 0 for r in got) == 2
+    assert html_tree.extract(frame.limit(0), ["page_id"]).collect() == []
+
+
+def test_marginals_equal_the_sum_over_all_states(pages):
+    model = html_tree.train([p.html for p in pages[:10]])
+    page = html_tree.Page("<div class=ad><p>some words here</p><a href=x>l</a></div><article><p>one two. <b>x</b></p></article>")
+    n = len(page.nodes)
+    weight = np.zeros((n, 2))
+    for states in itertools.product((0, 1), repeat=n):
+        total = model.root[states[0]]
+        for k, s in enumerate(states):
+            total += sum(model.unary.get(f, model.unseen)[s] for f in html_tree.features(page, k))
+            total += model.pair[html_tree.kind(page.nodes[k])][states[page.nodes[k].parent]][s] if k else 0.0
+        for k, s in enumerate(states):
+            weight[k, s] += math.exp(total)
+    assert np.allclose(model.marginals(page), weight[:, 1] / weight.sum(axis=1))
+
+
+def test_derivatives_of_the_pages(spark, sf_dir, pages):
+    rows = op9_warc_derivatives(spark, sf_dir).collect()
+    assert len(rows) == 2 * len(pages)
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r.page_id, {})[r.record_type] = r
+    for p in pages:
+        raw = warc.response(p.url, WARC_DATE, p.html.encode(), str(p.page_id))
+        headers, block = warc.parse(raw)
+        for kind in ("metadata", "conversion"):
+            r = by_page[p.page_id][kind]
+            assert r.refers_to == warc.get(headers, "WARC-Record-ID") and r.record_id != r.refers_to
+            assert r.source_payload_digest == warc.digest(p.html.encode()) and r.source_digest_ok
+            assert r.target_uri == p.url and r.warc_date == WARC_DATE
+    assert len({r.record_id for r in rows}) == len(rows)
+
+
+def test_round_trip_and_links_of_serialised_records():
+    raw = warc.response("http://x/é", WARC_DATE, "<p>one &amp; two</p><script>no</script>three".encode(), "7")
+    meta, text = warc.derive(gzip.compress(raw))
+    for row in (meta, text):
+        headers, block = warc.parse(row["record"])
+        assert warc.get(headers, "WARC-Refers-To") == warc.get(warc.parse(raw)[0], "WARC-Record-ID")
+        assert warc.get(headers, "WARC-Block-Digest") == warc.digest(block) == row["block_digest"]
+        assert len(block) == row["block_bytes"]
+    assert warc.parse(text["record"])[1].decode() == "one & two\nthree"
+    assert b"http-header-content-type: text/html; charset=utf-8" in warc.parse(meta["record"])[1]
+    wrong = raw.replace(b"one", b"ONE")
+    assert not warc.derive(wrong)[0]["source_digest_ok"]
+
+
+def test_records_that_yield_nothing_are_told(spark):
+    good = warc.response("u", WARC_DATE, b"", "1")
+    bad = [None, b"", b"junk", good.replace(b"WARC-Type: response", b"WARC-Type: request"), good[:40], b"\x1f\x8bxx"]
+    frame = spark.createDataFrame([(i, b, "x") for i, b in enumerate([good, good, *bad])], "k int, record binary, record_type string")
+    assert warc.derivatives(frame, ["k"]).count() == 4
+    told = {r.k: r.reason for r in warc.rejected(frame, ["k"]).collect()}
+    assert set(told) == set(range(2, 8)) and all(told.values())
+    assert warc.derivatives(frame.limit(0), ["k"]).count() == 0
+
+
+def brute(vectors, query, k):
+    own = np.array(vectors[query], np.float64)
+    score = sorted((float(np.sqrt(((np.array(v, np.float64) - own) ** 2).sum())), i) for i, v in vectors.items() if i != query)
+    return score[:k]
+
+
+def test_recall_over_the_embeddings(spark, sf_dir):
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = {}
+    for r in op2_projection_forest(spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    assert set(got) == {i for i in vectors if i % 100 == 0}
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11))
+        want = brute(vectors, q, 10)
+        hits += len({f[2] for f in found} & {i for _, i in want})
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_odd_vectors_ties_and_few_candidates(spark):
+    nan = float("nan")
+    rows = [(i, [1.0, 0.0], 1) for i in range(0, 60)] + [(100, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (200, [0.0, 2.0], 1), (201, [0.0, 1.0], 1)]
+    rows += [(300, None, 1), (400, [0.0, 0.0], 1), (500, [nan, 1.0], 1), (600, [None, 1.0], 1), (700, [1.0], 1), (None, [1.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in ann_forest.nearest(frame, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 100, 200}
+    assert [v for _, v, _ in sorted(got[0])] == list(range(1, 11))
+    assert [v for _, v, _ in sorted(got[100])] == list(range(10))
+    assert sorted(got[200])[0][1:] == (201, 1.0)
+    few = frame.filter("vec_id in (200, 201)")
+    assert [(r["rank"], r.vec_id) for r in ann_forest.nearest(few, F.col("vec_id") == 200).collect()] == [(1, 201)]
+    assert ann_forest.nearest(frame.limit(0), F.col("vec_id") == 200).collect() == []
