@@ -27,7 +27,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every near-duplicate component."""
-    return simhash.keep_one(simhash.near_duplicates(docs, docs.columns))
+    return simhash.keep_one(docs, docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,26 +204,42 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, radius: int = 4, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """Every row's ``keep`` columns as struct ``_row``, with ``_id``, ``fp``, ``root`` and ``component_id``.
-
-    ``root`` names the component (its own fingerprint for a row without links);
-    ``component_id`` is the smallest id in it.
-    """
+def fingerprints(docs: DataFrame, keep: list[str], width: int, id_col: str, text: str) -> DataFrame:
+    """Staged rows: ``keep`` columns as struct ``_row``, ``_id``, ``fp`` and ``_n``, which tells all rows apart."""
     prepare(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"),
                        fingerprint_column(F.col(text), width).alias("fp"))
-    rows = stage(rows, "prints")
+    return stage(rows.withColumn("_n", F.monotonically_increasing_id()), "prints")
+
+
+def classes(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``root`` and ``component_id`` of every distinct fingerprint of ``rows``.
+
+    ``root`` names the component (a fingerprint without links is its own);
+    ``component_id`` is the smallest id in it.
+    """
     prints = stage(rows.groupBy("fp").agg(F.min("_id").alias("first_id")), "distinct-prints")
     labels = components(links(prints, radius)).withColumnRenamed("node", "fp")
     named = stage(prints.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named-prints")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stage(named.join(smallest, "root").select("fp", "root", "component_id"), "components")
-    return rows.join(classes, "fp")
+    return stage(named.join(smallest, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, radius: int = 4, id_col: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """Every row's ``keep`` columns as struct ``_row``, with ``_id``, ``fp``, ``root`` and ``component_id``."""
+    rows = fingerprints(docs, keep, width, id_col, text)
+    return rows.join(classes(rows, radius), "fp")
 
 
-def keep_one(found: DataFrame) -> DataFrame:
-    """One row of each component, as its ``_row`` fields: the row with the smallest id."""
-    own = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
-    return own.dropDuplicates(["root", "_id"]).select("_row.*")
+def keep_one(docs: DataFrame, keep: list[str], width: int = 4, radius: int = 4, id_col: str = "doc_id",
+             text: str = "text") -> DataFrame:
+    """The ``keep`` columns of one row of each component: the one with the smallest id.
+
+    The survivors are chosen on narrow rows; the wide rows move once, to meet them.
+    """
+    rows = fingerprints(docs, keep, width, id_col, text)
+    narrow = rows.select("fp", "_id", "_n").join(classes(rows, radius), "fp")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_n")).alias("first")
+    survivors = stage(narrow.groupBy("root").agg(first).select("first._n"), "survivors")
+    return rows.join(survivors, "_n", "left_semi").select("_row.*")
