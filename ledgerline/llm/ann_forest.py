@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import prepare, stage
+from ledgerline.llm.common import hash_sample, prepare, stage
 
 
 @dataclass(frozen=True)
 class ForestParams:
-    """``sample_rows`` bounds what is collected to grow the trees; every vector is indexed.
+    """``sample_rows`` is about what is collected to grow the trees; every vector is indexed.
 
     ``share``: the share of all indexed vectors that the leaves a query visits are
     expected to hold. Data without cluster structure needs a large one; the README
@@ -154,8 +154,8 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     asked = stage(groups.select("v", "gid").join(asked, "v").select("gid", "query_id"), "asked")
     queries = groups.join(asked.select("gid").distinct(), "gid").select("gid", "v")
 
-    sample = groups.select("v").orderBy(F.xxhash64("gid", F.lit(params.seed))).limit(params.sample_rows)
-    points = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, max(dim, 1))
+    sample = hash_sample(groups.select("gid", "v"), "gid", params.sample_rows).collect()
+    points = np.array([r["v"] for r in sample], np.float64).reshape(-1, max(dim, 1))
     rng = np.random.default_rng(params.seed)
     trees = [grow(points, params.leaf_rows, rng) for _ in range(params.trees)]
 

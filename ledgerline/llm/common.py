@@ -79,3 +79,16 @@ def global_rank(df: DataFrame, order: list[str], name: str, rank: str = "rank")
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     ranked = dealt.withColumn("p", part).join(F.broadcast(starts), "p").withColumn(rank, F.col("before") + local)
     return ranked.drop("p", "before", "_at"), total
+
+
+def hash_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """About ``rows`` of the table's distinct ``column`` hashes, one row each; all of them if there are no more.
+
+    Hashes are uniform, so a bound on the hash picks the share; nothing is sorted and
+    no task sends more than its own share.
+    """
+    marked = df.withColumn("_hash", F.xxhash64(column))
+    total = df.count()
+    if total > rows:
+        marked = marked.filter(F.col("_hash") < int(-(1 << 63) + (1 << 64) * rows // total))
+    return marked.dropDuplicates(["_hash"]).orderBy("_hash")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import prepare
+from ledgerline.llm.common import hash_sample, prepare
 
 # Fixed HTML vocabulary: elements without end tags, without text for readers, and block-level ones.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -274,11 +274,10 @@ def main_text(html: str | None, model: TreeModel) -> str:
 def extract(pages: DataFrame, keep: list[str], html: str = "html", train_pages: int = 500) -> DataFrame:
     """``keep`` columns of every page with ``text`` and ``n_chars`` (code points).
 
-    The model is fitted to at most ``train_pages`` pages, taken in hash order.
+    The model is fitted to about ``train_pages`` pages, taken by hash.
     """
     prepare(pages.sparkSession)
-    chosen = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("_h"))
-    chosen = chosen.withColumn("_o", F.xxhash64("_h")).orderBy("_o").limit(train_pages).collect()
+    chosen = hash_sample(pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("_h")), "_h", train_pages).collect()
     model = train([r["_h"] for r in chosen])
 
     @F.pandas_udf("string")
