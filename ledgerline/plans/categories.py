@@ -22,10 +22,16 @@ def publish_categories(category: DataFrame, updates: DataFrame, path: str, versi
 
 
 def latest_categories(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published version (largest version label) of the category reference.
+    """The newest published version of the category reference.
 
-    Only the version labels reach the driver; the read is pruned to that partition.
+    Labels that are all dates compare as dates, labels that are all numbers as
+    numbers, others as text. Only the version labels reach the driver; the read is
+    pruned to that partition.
     """
     versions = spark.read.parquet(path).select(F.col("report_date").cast("string").alias("v")).distinct()
-    newest = versions.agg(F.max("v").alias("v")).first()["v"]
+    day, number = F.col("v").try_cast("date"), F.col("v").try_cast("double")
+    kinds = versions.agg(F.bool_and(day.isNotNull()).alias("days"), F.bool_and(number.isNotNull()).alias("numbers")).first()
+    # A number such as 2024 also reads as a date; as numbers their order is the same.
+    key = number if kinds["numbers"] else day if kinds["days"] else F.col("v")
+    newest = versions.agg(F.max_by("v", key).alias("v")).first()["v"]
     return read_report(spark, path, newest).drop("report_date")

@@ -78,9 +78,6 @@ def price_lists(price: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]
     """
     p = price.withColumn("price_vat", with_vat("price"))
     p = exclude_value(p, "price_class", P.EXCLUDED_PRICE_CLASS)
-    # One hash partitioning by SKU serves both the (sku, name) pivots and the
-    # SKU join of the two lists: one shuffle per list instead of two.
-    p = p.repartition("sku")
     names = dict(zip(params.price_uoms, ["case_price", "subcase_price", "piece_price"]))
 
     def pivot(df: DataFrame) -> DataFrame:
@@ -192,7 +189,7 @@ def product_catalogue(refs: Mapping[str, DataFrame]) -> DataFrame:
     ret = ret.filter(keep).select("sku", "sku_name", F.lit(1).alias("source"))
     so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]).select(
         "sku", "sku_name", F.lit(2).alias("source"))
-    # Distinct (sku, source, name) first: a hash aggregate that shrinks the input
-    # map-side before the sort-based first-per-key.
-    names = union_all([inv, ret, so]).distinct()
+    # A count per (sku, source, name) first: a hash aggregate with map-side combine, which the
+    # optimizer keeps (it would drop a plain distinct), so the sort-based step sees few rows.
+    names = union_all([inv, ret, so]).groupBy("sku", "source", "sku_name").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 0")
     return first_per_key(names, ["sku"], ["source", "sku_name"]).select("sku", "sku_name")

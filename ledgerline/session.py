@@ -55,12 +55,14 @@ def apply_job_conf(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be shared storage. Only
-    when it is unset (tests, local runs) do we create a local folder for it.
+    On a cluster the deployment must set it, to shared storage; without it this
+    raises. Only a local master (tests, local runs) gets a local folder of its own.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerline.operators.aggregate import missing_counts
@@ -29,14 +30,18 @@ def read_table(
     """Read one extract with an explicit schema (ids are text, money decimal).
 
     ``optional`` returns an empty table of the same schema when nothing exists at
-    ``path``; a path that exists but cannot be read still raises.
+    ``path``; a path that exists but cannot be read still raises. CSV columns are
+    matched by their header names, whatever their order, and cast to the schema
+    (unparsable values become NULL); a column that no header names raises.
     """
     if optional and not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema).options(**options)
     if fmt == "csv":
-        reader = reader.option("header", "true")
-    return reader.format(fmt).load(path)
+        texts = spark.read.options(**{"header": "true", **options}).csv(path)
+        if lacking := [f.name for f in schema if f.name not in texts.columns]:
+            raise ValueError(f"{path}: no column {', '.join(lacking)}")
+        return texts.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
 def required_values(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

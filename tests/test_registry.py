@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import __spark_entry__ as E
+from ledgerline.demo.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -21,9 +22,9 @@ def test_every_planned_query_is_registered():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(QUERIES) & set(E.oracle_sql())
 
 
 def test_query_names_are_plain():
-    for name in E.queries():
+    for name in QUERIES:
         assert re.fullmatch(r"[a-z][a-z_]*", name) and not re.match(r"op\d", name)

@@ -1,9 +1,13 @@
 """Report sink round trip and workbook ingest."""
 
+import io
 import os
 import tempfile
+import zipfile
 from decimal import Decimal as D
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.sources import ingest_workbooks, read_report, read_table, report_label, required_values, write_report
@@ -46,7 +50,7 @@ def test_workbook_parse_with_header_offset(spark):
     assert parse_workbook(open(os.path.join(folder, "a.xlsx"), "rb").read())[2] == ["SKU CODE", "QTY", "DATE"]
     schema = T.StructType([T.StructField("SKU CODE", T.StringType()), T.StructField("QTY", T.DoubleType()),
                            T.StructField("DATE", T.DateType()), T.StructField("MISSING", T.StringType())])
-    out = ingest_workbooks(spark, folder, schema, header_row=3).orderBy("SKU CODE").collect()
+    out = ingest_workbooks(spark, folder, schema, header_row=3, allow_missing=["MISSING"]).orderBy("SKU CODE").collect()
     assert [(r["SKU CODE"], r["QTY"], str(r["DATE"]), r["MISSING"]) for r in out] == [
         ("100", 2.5, "2026-01-02", None), ("200", None, "2026-01-02", None)]
 
@@ -94,3 +98,76 @@ def test_workbook_export_splits_files_by_row_limit(spark):
     assert sorted(r.rows for r in written) == [5, 10, 10]
     back = ingest_workbooks(spark, folder, df.schema)
     assert sorted(int(r.id) for r in back.collect()) == list(range(25))
+
+
+def _sheet(folder: str, name: str, rows: dict[int, list[str]]) -> None:
+    """A workbook whose sheet XML leaves out blank rows and numbers the others."""
+    cells = lambda n, vs: "".join(f'<c r="{chr(65 + i)}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for i, v in enumerate(vs))
+    body = "".join(f'<row r="{n}">{cells(n, vs)}</row>' for n, vs in rows.items())
+    plain = build_workbook(["x"], [])
+    with zipfile.ZipFile(io.BytesIO(plain)) as src, zipfile.ZipFile(os.path.join(folder, name), "w") as out:
+        for item in src.namelist():
+            data = src.read(item)
+            if b"<sheetData>" in data:
+                head, _, rest = data.partition(b"<sheetData>")
+                data = head + b"<sheetData>" + body.encode() + b"</sheetData>" + rest.partition(b"</sheetData>")[2]
+            out.writestr(item, data)
+
+
+def test_workbook_rows_are_numbered_by_the_sheet_and_dates_and_blanks_are_read(spark):
+    folder = tempfile.mkdtemp(prefix="ll-xlsx-")
+    _sheet(folder, "d.xlsx", {1: ["List"], 5: ["key", "day"], 6: ["a", "2026-01-02 00:00:00"], 7: ["N/A", "2026-01-03T10:00:00"],
+                              9: ["b", "46024"], 10: ["NA", "oops"]})
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("day", T.DateType())])
+    got = ingest_workbooks(spark, folder, schema, header_row=5).collect()
+    assert [(r.key, str(r.day)) for r in got] == [("a", "2026-01-02"), (None, "2026-01-03"), ("b", "2026-01-02"), (None, "None")]
+
+
+def test_workbook_without_a_wanted_column_raises(spark):
+    folder = tempfile.mkdtemp(prefix="ll-xlsx-")
+    _sheet(folder, "d.xlsx", {1: ["Txn Date"], 2: ["2026-01-02"]})
+    schema = T.StructType([T.StructField("txn_date", T.DateType())])
+    with pytest.raises(Exception, match="no column txn_date"):
+        ingest_workbooks(spark, folder, schema).collect()
+
+
+def test_csv_is_read_by_header_name(spark):
+    folder = tempfile.mkdtemp(prefix="ll-csv-")
+    with open(os.path.join(folder, "r.csv"), "w") as fh:
+        fh.write("route_code,customer_id,n\nR1,C1,5\nR2,C2,x\n")
+    text = T.StringType()
+    schema = T.StructType([T.StructField("customer_id", text), T.StructField("route_code", text), T.StructField("n", T.IntegerType())])
+    got = read_table(spark, folder, schema, fmt="csv").orderBy("customer_id").collect()
+    assert [tuple(r) for r in got] == [("C1", "R1", 5), ("C2", "R2", None)]
+    with pytest.raises(ValueError, match="no column other"):
+        read_table(spark, folder, T.StructType([T.StructField("other", text)]), fmt="csv")
+
+
+def test_csv_report_keeps_its_header_and_sort_only_columns_are_not_written(spark):
+    path = tempfile.mkdtemp(prefix="ll-report-")
+    df = spark.createDataFrame([("b", 1, 9), ("a", 2, 8)], "k string, v int, o int")
+    write_report(df, path, "2026-01-02", sort_by=["o"], fmt="csv", sort_only=["o"])
+    assert sorted((r.k, r.v) for r in read_report(spark, path, fmt="csv").collect()) == [("a", "2"), ("b", "1")]
+    assert "o" not in read_report(spark, path, fmt="csv").columns
+
+
+def test_newest_category_version_by_number_and_by_date(spark):
+    from ledgerline.plans.categories import latest_categories, publish_categories
+
+    one = spark.createDataFrame([("s", "n", "old")], "sku string, sku_name string, category string")
+    two = one.withColumn("category", F.lit("new"))
+    for old, new in (("9", "10"), ("2026-01-09", "2026-01-10"), ("a", "b")):
+        path = tempfile.mkdtemp(prefix="ll-cat-")
+        publish_categories(one, one, path, old)
+        publish_categories(one, two, path, new)
+        assert latest_categories(spark, path).first().category == "new"
+
+
+def test_price_pivot_combines_before_its_shuffle(spark, params):
+    from ledgerline.plans.reports import price_lists
+
+    rows = [("hot" if i % 3 == 0 else f"s{i % 50}", "name", "CS", "A", "VAN", i + 0.5) for i in range(3000)]
+    price = spark.createDataFrame(rows, "sku string, sku_name string, uom string, price_class string, channel string, price double")
+    for pivot in price_lists(price, params):
+        plan = pivot._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION" not in plan and plan.index("Exchange hashpartitioning") < plan.rindex("partial_sum")
