@@ -428,9 +428,39 @@ def _loss() -> str:
         fanout("d_supervisor", "rep_id", "supervisor_key_fanout"),
         fanout("d_free_goods", "sku", "free_goods_key_fanout"),
         fanout("d_calendar", "txn_date", "calendar_key_fanout"),
+        fanout("d_gt_channel", "customer_class", "gt_channel_key_fanout"),
+        fanout("d_classification", "customer_class", "classification_key_fanout"),
+        fanout("d_route", "customer_id", "route_key_fanout"),
+        fanout("d_new_customer", "customer_id", "new_customer_key_fanout"),
     ]) + "\n"
 
 
+def _price_fanout() -> str:
+    surplus = "\nUNION ALL\n".join(
+        f"SELECT '{name}_key_fanout' AS metric, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS rows "
+        f"FROM (SELECT count(*) AS n FROM {table} GROUP BY sku)"
+        for name, table in [("price_nonvan", "one"), ("price_van", "two"), ("price_reference", "joined")])
+    return _with("""relabelled AS (
+  SELECT sku, sku_name, channel FROM d_price WHERE price_class IS DISTINCT FROM 'BEV Dealer'
+  UNION ALL
+  SELECT sku, sku_name || ' (new label)', channel FROM d_price
+  WHERE price_class IS DISTINCT FROM 'BEV Dealer' AND sku LIKE '%7'
+),
+one AS (SELECT DISTINCT sku, sku_name FROM relabelled WHERE channel IS DISTINCT FROM 'VAN(EXTRUCK)'),
+two AS (SELECT DISTINCT sku, sku_name FROM relabelled WHERE channel = 'VAN(EXTRUCK)'),
+joined AS (SELECT sku FROM one FULL OUTER JOIN two USING (sku))""") + surplus
+
+
+def _daily_totals() -> str:
+    reports = [("net_invoiced", NET_INVOICED, ["net_value", "good_returns", "bad_returns", "volume"]),
+               ("sales_order", SALES_ORDER, ["value", "volume"]), ("served_invoice", SERVED_INVOICE, ["value", "volume"]),
+               ("net_sellout", NET_SELLOUT, ["qty"])]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS report, '{c}' AS column_name, "
+        f"round(CAST(SUM({c if c == 'volume' else f'CAST({c} AS DECIMAL(28,8))'}) AS DOUBLE), 4) AS total FROM ({sql})"
+        for name, sql, cols in reports for c in cols)
+
+
 def _missing(table: str, cols: list[str]) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) "
@@ -438,6 +468,23 @@ def _missing(table: str, cols: list[str]) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "csv_read_by_name": _with() + """
+SELECT sku, sku_name, uom, CAST(price AS DOUBLE) AS price, price_class, channel FROM d_price""",
+    "optional_source": _with() + """
+SELECT 'present' AS table_name, CAST(count(*) AS BIGINT) AS rows FROM d_route
+UNION ALL SELECT 'absent', CAST(0 AS BIGINT)""",
+    "header_offset_ingest": _with() + "SELECT CAST(txn_date AS VARCHAR) AS txn_date, week FROM d_calendar",
+    "positional_ingest": _with() + "SELECT customer_id AS owner, route_code AS code FROM d_route",
+    "missing_tokens": _with() + "SELECT customer_id, NULLIF(created, 'N/A') AS created FROM d_customer",
+    "tolerant_text": _with() + """
+SELECT doc_no, sku, uom, TRY_CAST(CASE uom WHEN 'Subcase' THEN CAST(qty AS VARCHAR) || ' pcs' WHEN 'Piece' THEN ''
+                                  ELSE CAST(qty AS VARCHAR) END AS DOUBLE) AS qty
+FROM d_invoice""",
+    "complete_references": _with() + """
+SELECT 'free_goods' AS table_name, sku AS key FROM d_free_goods WHERE sku IS NOT NULL AND case_size IS NOT NULL
+UNION ALL SELECT 'customer', customer_id FROM d_customer WHERE rep_id IS NOT NULL AND status IS NOT NULL""",
+    "price_fanout": _price_fanout(),
+    "daily_totals": _daily_totals(),
     "required_values": _with() + "\nUNION ALL\n".join([
         _missing("invoice", ["txn_date", "customer_id", "sku", "uom", "qty", "item_type"]),
         _missing("returns", ["txn_date", "customer_id", "sku", "uom", "facility", "return_type"]),

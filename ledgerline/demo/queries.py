@@ -31,10 +31,12 @@ from ledgerline.functions import (
 from ledgerline.plans import customers as C
 from ledgerline.plans import facts as FX
 from ledgerline.plans import reports as R
-from ledgerline.plans.quality import loss_metrics
+from ledgerline.plans.daily import TOTALLED, report_totals
+from ledgerline.plans.quality import loss_metrics, price_fanout
 from ledgerline.plans.volume import with_volume
+from ledgerline.schemas import schema
 from ledgerline.session import scratch_dir
-from ledgerline.sources import ingest_workbooks, read_report, required_values, write_report, write_workbooks
+from ledgerline.sources import ingest_workbooks, read_report, read_table, required_values, write_report, write_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +90,47 @@ def workbook_ingest_q(spark, sf_dir):
     return ingest_workbooks(spark, path, cust.schema, missing_tokens=()).drop("source_file")
 
 
+def _folder(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/extracts/{name}-{uuid.uuid4().hex}"
+
+
+def csv_read_by_name_q(spark, sf_dir):
+    price = _t(spark, sf_dir).price
+    path = _folder(spark, "price")
+    price.select(*reversed(price.columns)).write.option("header", True).csv(path)
+    return finish(read_table(spark, path, schema("price"), fmt="csv"))
+
+
+def optional_source_q(spark, sf_dir):
+    path = _folder(spark, "route")
+    _t(spark, sf_dir).route.write.parquet(path)
+    return O.row_counts({
+        "present": read_table(spark, path, schema("route"), optional=True),
+        "absent": read_table(spark, f"{path}-absent", schema("route"), optional=True),
+    })
+
+
+def header_offset_ingest_q(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    path = _folder(spark, "calendar")
+    write_workbooks(t.calendar, path, header_row=5).collect()  # the rows above are absent from the sheet
+    return finish(ingest_workbooks(spark, path, schema("calendar"), header_row=5).drop("source_file"))
+
+
+def positional_ingest_q(spark, sf_dir):
+    path = _folder(spark, "route")
+    write_workbooks(_t(spark, sf_dir).route, path).collect()
+    by_place = T.StructType([T.StructField("owner", T.StringType()), T.StructField("code", T.StringType())])
+    return ingest_workbooks(spark, path, by_place, header_row=2, by_position=True).drop("source_file")
+
+
+def missing_tokens_q(spark, sf_dir):
+    path = _folder(spark, "created")
+    write_workbooks(_t(spark, sf_dir).customer.select("customer_id", "created"), path).collect()
+    found = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("created", T.StringType())])
+    return ingest_workbooks(spark, path, found).drop("source_file")
+
+
 # --- filters and scalar functions -------------------------------------------
 
 def null_keeping_filter_q(spark, sf_dir):
@@ -130,6 +173,21 @@ def tolerant_numeric_q(spark, sf_dir):
                            safe_div(tolerant_number("qty"), "case_size").alias("per_case")))
 
 
+def tolerant_text_q(spark, sf_dir):
+    inv = _t(spark, sf_dir).invoice
+    text = (F.when(F.col("uom") == "Subcase", F.concat(F.col("qty").cast("string"), F.lit(" pcs")))
+            .when(F.col("uom") == "Piece", "").otherwise(F.col("qty").cast("string")))
+    return inv.select("doc_no", "sku", "uom", tolerant_number(text).cast("double").alias("qty"))
+
+
+def complete_references_q(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    whole = O.drop_incomplete(t.free_goods).select(F.lit("free_goods").alias("table_name"), F.col("sku").alias("key"))
+    some = O.drop_incomplete(t.customer, ["rep_id", "status"]).select(F.lit("customer").alias("table_name"),
+                                                                      F.col("customer_id").alias("key"))
+    return O.union_all([whole, some])
+
+
 def date_parse_format_q(spark, sf_dir):
     c = _t(spark, sf_dir).customer
     d = parse_created_date("created")
@@ -291,7 +349,35 @@ def loss_metrics_q(spark, sf_dir):
     return loss_metrics(_t(spark, sf_dir))
 
 
+def price_fanout_q(spark, sf_dir):
+    price = _t(spark, sf_dir).price
+    renamed = price.filter(F.col("sku").endswith("7")).withColumn("sku_name", F.concat("sku_name", F.lit(" (new label)")))
+    return price_fanout({"price": O.union_all([price, renamed])}, DEMO_PARAMS)
+
+
+def daily_totals_q(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    out = _folder(spark, "daily")
+    prices = R.case_prices(t, DEMO_PARAMS)
+    reports = {
+        "net_invoiced": R.net_invoiced(t, DEMO_PARAMS, prices), "sales_order": R.sales_order_report(t, DEMO_PARAMS, prices),
+        "served_invoice": R.served_invoice(t, DEMO_PARAMS, prices), "net_sellout": R.net_sellout(t, DEMO_PARAMS),
+    }
+    for name in TOTALLED:
+        write_report(reports[name], f"{out}/{name}", "2026-01-02", sort_by=R.REPORT_ORDER[name])
+    return report_totals(spark, out, "2026-01-02").withColumn("total", F.round("total", 4))
+
+
 QUERIES: dict[str, Query] = {
+    "csv_read_by_name": csv_read_by_name_q,
+    "optional_source": optional_source_q,
+    "header_offset_ingest": header_offset_ingest_q,
+    "positional_ingest": positional_ingest_q,
+    "missing_tokens": missing_tokens_q,
+    "tolerant_text": tolerant_text_q,
+    "complete_references": complete_references_q,
+    "price_fanout": price_fanout_q,
+    "daily_totals": daily_totals_q,
     "required_values": required_values_q,
     "null_keeping_filter": null_keeping_filter_q,
     "token_filter": token_filter_q,

@@ -299,7 +299,7 @@ def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     are staged as typed Parquet); the reports then read the landed files with
     column pruning, pushed filters and exact size statistics. Fact extracts are
     spread over ``defaultParallelism`` files so their scans split across tasks;
-    small references land as one file. Each table is written to a fresh folder
+    references keep the partitions of their scans. Each table is written to a fresh folder
     and renamed into place after the write commits, so a failed or retried job
     never leaves a partial table behind. Independent tables are written by
     concurrent jobs. Landed once per Spark application and directory.
@@ -321,7 +321,7 @@ def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
             if fs.exists(tpath):
                 return
             df = getattr(derived, name)
-            df = df.repartition(width) if name in FACT_EXTRACTS else df.coalesce(1)
+            df = df.repartition(width) if name in FACT_EXTRACTS else df
             tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
             df.write.mode("overwrite").parquet(tmp)
             src, _ = _fs_path(spark, tmp)

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ledgerline import params as P
 from ledgerline.functions import parse_created_date
 from ledgerline.operators import key_fanouts, union_all
-from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders
+from ledgerline.params import Params
+from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders, price_reference
+from ledgerline.plans.reports import price_lists
 
 
 def _count(df: DataFrame, metric: str, cond=None) -> DataFrame:
@@ -64,6 +66,24 @@ def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
             "supervisor_key_fanout": (refs["supervisor"], "rep_id"),
             "free_goods_key_fanout": (refs["free_goods"], "sku"),
             "calendar_key_fanout": (refs["calendar"], "txn_date"),
+            "gt_channel_key_fanout": (refs["gt_channel"], "customer_class"),
+            "classification_key_fanout": (refs["classification"], "customer_class"),
+            "route_key_fanout": (refs["route"], "customer_id"),
+            "new_customer_key_fanout": (refs["new_customer"], "customer_id"),
         }),
     ]
     return union_all(parts)
+
+
+def price_fanout(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
+    """Rows ``(metric, rows)``: surplus rows per SKU of both price lists and of the joined price reference.
+
+    A SKU listed under several descriptions has a row for each, and in the joined
+    reference a row for each pair of them.
+    """
+    nonvan, van = price_lists(refs["price"], params)
+    return key_fanouts({
+        "price_nonvan_key_fanout": (nonvan, "sku"),
+        "price_van_key_fanout": (van, "sku"),
+        "price_reference_key_fanout": (price_reference(nonvan, van), "sku"),
+    })
