@@ -85,7 +85,7 @@ def workbook_ingest_q(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = f"{scratch_dir(spark)}/workbooks/customer-{uuid.uuid4().hex}"
     cust = t.customer
-    write_workbooks(cust.repartition(4), path).collect()
+    write_workbooks(cust, path)
     # A round trip: every text comes back as it was written, so none stands for a missing value.
     return ingest_workbooks(spark, path, cust.schema, missing_tokens=()).drop("source_file")
 
@@ -113,20 +113,20 @@ def optional_source_q(spark, sf_dir):
 def header_offset_ingest_q(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = _folder(spark, "calendar")
-    write_workbooks(t.calendar, path, header_row=5).collect()  # the rows above are absent from the sheet
+    write_workbooks(t.calendar, path, header_row=5)  # the rows above are absent from the sheet
     return finish(ingest_workbooks(spark, path, schema("calendar"), header_row=5).drop("source_file"))
 
 
 def positional_ingest_q(spark, sf_dir):
     path = _folder(spark, "route")
-    write_workbooks(_t(spark, sf_dir).route, path).collect()
+    write_workbooks(_t(spark, sf_dir).route, path)
     by_place = T.StructType([T.StructField("owner", T.StringType()), T.StructField("code", T.StringType())])
     return ingest_workbooks(spark, path, by_place, header_row=2, by_position=True).drop("source_file")
 
 
 def missing_tokens_q(spark, sf_dir):
     path = _folder(spark, "created")
-    write_workbooks(_t(spark, sf_dir).customer.select("customer_id", "created"), path).collect()
+    write_workbooks(_t(spark, sf_dir).customer.select("customer_id", "created"), path)
     found = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("created", T.StringType())])
     return ingest_workbooks(spark, path, found).drop("source_file")
 

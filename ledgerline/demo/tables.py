@@ -298,7 +298,8 @@ def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     This is the landing step of a real deployment (extracts arrive once a day and
     are staged as typed Parquet); the reports then read the landed files with
     column pruning, pushed filters and exact size statistics. Fact extracts are
-    spread over ``defaultParallelism`` files so their scans split across tasks;
+    spread over files of about 128 MB of their input, at least ``defaultParallelism``
+    of them, so their scans split across tasks;
     references keep the partitions of their scans. Each table is written to a fresh folder
     and renamed into place after the write commits, so a failed or retried job
     never leaves a partial table behind. Independent tables are written by
@@ -313,7 +314,8 @@ def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
         tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
         root = f"{scratch_dir(spark)}/landed/{tag}" + (f"-{uuid.uuid4().hex[:8]}" if force else "")
         derived = DerivedTables(spark, sf_dir)
-        width = max(1, spark.sparkContext.defaultParallelism)
+        source, fs = _fs_path(spark, f"{key[1]}/lineitem.parquet")  # the largest table behind the fact extracts
+        width = max(spark.sparkContext.defaultParallelism, fs.getContentSummary(source).getLength() >> 27)
 
         def land(name: str) -> None:
             target = f"{root}/{name}.parquet"

@@ -51,7 +51,7 @@ def lookup(
     return fact.join(renamed, cond, how).drop(*[f"__dim_{k}" for k in keys])
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
+def bounded_broadcast(dim: DataFrame, max_rows: int, max_bytes: int = 256 << 20, path: str | None = None) -> DataFrame:
     """Broadcast ``dim`` only when it provably has at most ``max_rows`` rows and
     at most ``max_bytes`` of Parquet on disk.
 
@@ -60,22 +60,22 @@ def bounded_broadcast(dim: DataFrame, max_rows: int, max_bytes: int = 256 << 20)
     lineage is cut, and the planner sees its real file size. Rows are counted by
     the write job itself and bytes summed from the written files. Within both
     bounds the result carries a broadcast hint; beyond either no hint is given
-    and the join sort-merges.
+    and the join sort-merges. ``path`` names the table for a caller that deletes
+    it later; by default it gets a new name in the scratch folder.
     """
     import uuid
 
     from pyspark.sql import Observation
 
-    from ledgerline.session import scratch_dir
+    from ledgerline.session import hadoop_path, scratch_dir
 
     spark = dim.sparkSession
-    path = f"{scratch_dir(spark)}/materialised/{uuid.uuid4().hex}"
+    path = path or f"{scratch_dir(spark)}/materialised/{uuid.uuid4().hex}"
     seen = Observation()
     dim.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     rows = int(seen.get["rows"])
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    size = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
+    hpath, filesystem = hadoop_path(spark, path)
+    size = filesystem.getContentSummary(hpath).getLength()
     materialised = spark.read.parquet(path)
     return F.broadcast(materialised) if rows <= max_rows and size <= max_bytes else materialised
 

@@ -105,23 +105,36 @@ def enrich(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -
     return lookup(f, refs["free_goods"], "sku", ["case_size"])
 
 
-def case_prices(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:
-    """Case-price reference ``(sku, nonvan_price, van_price)``, checkpointed and broadcast
-    to the fact joins when it is within ``params.broadcast_max_rows`` rows and
+def case_prices(refs: Mapping[str, DataFrame], params: Params, path: str | None = None) -> DataFrame:
+    """Case-price reference ``(sku, nonvan_price, van_price)``, written once (to ``path``, if given)
+    and broadcast to the fact joins when it is within ``params.broadcast_max_rows`` rows and
     ``params.broadcast_max_bytes`` bytes."""
     nonvan, van = price_lists(refs["price"], params)
-    return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows, params.broadcast_max_bytes)
+    return bounded_broadcast(price_reference(nonvan, van), params.broadcast_max_rows, params.broadcast_max_bytes, path)
 
 
 def _prices(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None) -> DataFrame:
     return prices if prices is not None else case_prices(refs, params)
 
 
-def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
-    """Invoices plus pivoted returns, enriched, with net value and volume."""
-    inv = clean_invoices(refs["invoice"], refs["deductions"])
+def enriched_invoices(refs: Mapping[str, DataFrame], prices: DataFrame) -> DataFrame:
+    """Cleaned, enriched invoice lines: the rows that net invoiced and served invoice share."""
+    return enrich(clean_invoices(refs["invoice"], refs["deductions"]), refs, prices)
+
+
+def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None,
+                 invoices: DataFrame | None = None) -> DataFrame:
+    """Invoices plus pivoted returns, enriched, with net value and volume.
+
+    ``invoices`` are staged :func:`enriched_invoices`; without them, invoices and
+    returns are enriched together in one pass.
+    """
+    prices = _prices(refs, params, prices)
     ret = returns_pivot(refs["returns"], refs["deductions"]).withColumn("served", zero())
-    f = enrich(union_all([inv, ret]), refs, _prices(refs, params, prices))
+    if invoices is None:
+        f = enrich(union_all([clean_invoices(refs["invoice"], refs["deductions"]), ret]), refs, prices)
+    else:
+        f = union_all([invoices, enrich(ret, refs, prices)])
     f = f.withColumn("net_value", F.col("served") - F.col("bad_returns") - F.col("good_returns"))
     f = with_volume(f, "net_value", params)
     f = lookup(f, refs["gt_channel"], "customer_class", ["gt_channel"])
@@ -133,9 +146,8 @@ def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFram
     return f.select(*NET_INVOICED_COLS)
 
 
-def _order_report(facts: DataFrame, value: str, refs, params: Params, prices: DataFrame | None) -> DataFrame:
-    f = enrich(facts, refs, _prices(refs, params, prices))
-    f = with_volume(f, value, params)
+def _order_report(enriched: DataFrame, value: str, params: Params) -> DataFrame:
+    f = with_volume(enriched, value, params)
     f = f.withColumns({"distributor": F.lit(params.distributor), "value": F.col(value)})
     return f.select(*ORDER_REPORT_COLS)
 
@@ -143,13 +155,15 @@ def _order_report(facts: DataFrame, value: str, refs, params: Params, prices: Da
 def sales_order_report(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
     """Invoiced sales orders minus carried deductions, VAT value and volume."""
     so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"])
-    return _order_report(so, "value", refs, params, prices)
+    return _order_report(enrich(so, refs, _prices(refs, params, prices)), "value", params)
 
 
-def served_invoice(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
-    """Invoices only (no returns), served value and volume."""
-    inv = clean_invoices(refs["invoice"], refs["deductions"])
-    return _order_report(inv, "served", refs, params, prices)
+def served_invoice(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None,
+                   invoices: DataFrame | None = None) -> DataFrame:
+    """Invoices only (no returns), served value and volume; ``invoices`` as in :func:`net_invoiced`."""
+    if invoices is None:
+        invoices = enriched_invoices(refs, _prices(refs, params, prices))
+    return _order_report(invoices, "served", params)
 
 
 def net_sellout(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:

@@ -69,6 +69,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``path`` qualified as Spark qualifies it, and its filesystem."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return filesystem.makeQualified(hpath), filesystem
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, filesystem = hadoop_path(spark, path)
+    filesystem.delete(target, True)
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

@@ -10,13 +10,12 @@ from pyspark.sql.types import StructType
 
 from ledgerline.operators.aggregate import missing_counts
 from ledgerline.operators.setops import union_all
+from ledgerline.session import hadoop_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(hpath))
+    hpath, filesystem = hadoop_path(spark, path)
+    return bool(filesystem.globStatus(hpath))
 
 
 def read_table(

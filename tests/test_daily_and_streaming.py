@@ -5,8 +5,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ledgerline.sources import read_report
+from ledgerline.sources import ingest_workbooks, read_report
+from ledgerline.plans import net_invoiced
 from ledgerline.plans.daily import run_daily
+from ledgerline.session import scratch_dir
 from ledgerline.streaming import reports_on_arrival
 from tests.fixtures import tables
 
@@ -22,6 +24,22 @@ def test_run_daily_writes_every_report(spark, params):
     assert read_report(spark, f"{out}/customer_master", "2026-01-06").count() == 4
 
 
+def test_run_daily_shares_invoices_writes_workbooks_and_cleans_up(spark, params):
+    out, books = tempfile.mkdtemp(prefix="ll-daily-"), tempfile.mkdtemp(prefix="ll-books-")
+    t = tables(spark)
+    written = run_daily(t, params, out, "2026-01-06", workbook_root=books)
+    report = read_report(spark, f"{out}/net_invoiced", "2026-01-06").drop("report_date")
+    alone = net_invoiced(t, params)
+    assert sorted(map(str, report.select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
+    folders = {n for n in os.listdir(books)}
+    assert folders == {f"Test Co {os.path.basename(p)}_January 6, 2026" for p in written}
+    customers = read_report(spark, f"{out}/customer_master", "2026-01-06").drop("report_date")
+    back = ingest_workbooks(spark, f"{books}/Test Co customer_master_January 6, 2026", customers.schema)
+    assert "created_on" not in customers.columns and back.count() == 4
+    work = f"{scratch_dir(spark).removeprefix('file:')}/daily"
+    assert not os.path.isdir(work) or os.listdir(work) == []
+
+
 def test_reports_on_arrival_processes_new_dates_once(spark, params):
     landing = tempfile.mkdtemp(prefix="ll-landing-")
     out = tempfile.mkdtemp(prefix="ll-out-")

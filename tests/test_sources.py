@@ -3,6 +3,7 @@
 import io
 import os
 import tempfile
+import tracemalloc
 import zipfile
 from decimal import Decimal as D
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.sources import ingest_workbooks, read_report, read_table, report_label, required_values, write_report
-from ledgerline.sources.workbook import build_workbook, parse_workbook, write_workbooks
+from ledgerline.sources.workbook import build_workbook, parse_workbook, stream_workbook, write_workbooks
 
 
 def test_report_partitions_overwrite_one_date(spark):
@@ -171,3 +172,71 @@ def test_price_pivot_combines_before_its_shuffle(spark, params):
     for pivot in price_lists(price, params):
         plan = pivot._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION" not in plan and plan.index("Exchange hashpartitioning") < plan.rindex("partial_sum")
+
+
+def test_workbook_export_replaces_the_folder_of_an_earlier_run(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="ll-xlsx-"), "ACME net_invoiced_January 2, 2026")
+    df = spark.range(20).selectExpr("cast(id as string) as id")
+    for parts in (4, 1):
+        assert sum(r.rows for r in write_workbooks(df.repartition(parts), folder).collect()) == 20
+        assert ingest_workbooks(spark, folder, df.schema).count() == 20
+    assert len(os.listdir(os.path.dirname(folder))) == 1
+
+
+def test_failed_workbook_export_leaves_the_earlier_files(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="ll-xlsx-"), "out")
+    write_workbooks(spark.range(3).selectExpr("cast(id as string) as id"), folder)
+    with pytest.raises(Exception):
+        write_workbooks(spark.range(3).selectExpr("raise_error('no rows') as id"), folder)
+    assert os.listdir(os.path.dirname(folder)) == ["out"]
+    assert ingest_workbooks(spark, folder, T.StructType([T.StructField("id", T.StringType())])).count() == 3
+
+
+def test_workbook_ingest_shuffles_nothing(spark):
+    folder = tempfile.mkdtemp(prefix="ll-xlsx-")
+    df = spark.range(8).selectExpr("cast(id as string) as id")
+    write_workbooks(df.repartition(4), folder)
+    plan = ingest_workbooks(spark, folder, df.schema)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_workbook_export_memory_does_not_grow_with_rows():
+    class Sink(io.RawIOBase):
+        def writable(self):
+            return True
+
+        def write(self, data):
+            return len(data)
+
+    def peak(rows: int) -> int:
+        tracemalloc.start()
+        assert stream_workbook(Sink(), ["id", "name"], ((i, f"name {i}") for i in range(rows))) == rows
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    peak(10)
+    assert peak(20_000) < 2 * peak(1_000)
+
+
+def test_report_is_computed_once_and_read_back_in_order(spark):
+    path = tempfile.mkdtemp(prefix="ll-report-")
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(v):
+        runs.add(1)
+        return v
+
+    df = spark.range(2000).repartition(8).select(seen(F.col("id") * 7 % 2003).alias("k"), F.col("id").alias("tie"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # off, so that the small report has several files
+    spark.conf.set(coalesce, "false")
+    try:
+        assert write_report(df, path, "2026-01-02", sort_by=["k", "tie"]) == 2000
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert runs.value == 2000
+    part = os.path.join(path, "report_date=2026-01-02")
+    files = sorted(f for f in os.listdir(part) if f.endswith(".parquet"))
+    keys = [r.k for f in files for r in spark.read.parquet(os.path.join(part, f)).collect()]
+    assert len(files) > 1 and keys == sorted(keys) and len(keys) == 2000
