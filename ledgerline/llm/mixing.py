@@ -24,7 +24,7 @@ from ledgerline.llm.common import stage, word_count
 
 MAX_PATTERNS = 100_000
 HASH_BITS = 12
-# Rows looked at to fill what the run in hash order leaves open.
+# Rows that one pass weighs against each other after its run; later passes look at the others.
 FILL_ROWS = 64
 
 
@@ -150,8 +150,9 @@ def mix(docs: DataFrame, keep: list[str], weights: list[float], sources: str = "
     # Equal rows have equal places in the seeded order; which of them is taken makes no difference.
     order = F.xxhash64(F.lit(seed), *[F.col(c) for c in keep], F.col(text))
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), member.alias("_pattern"),
-                       word_count(F.col(text)).alias("size"), order.alias("_order"))
-    rows = stage(rows, "mix")
+                       word_count(F.col(text)).alias("size"), F.shiftrightunsigned(order, 1).alias("_order"),
+                       F.monotonically_increasing_id().alias("_id"))
+    rows = stage(rows, "mix")  # from here on every row has its own _id
 
     found = rows.groupBy("_pattern").agg(F.sum("size").alias("size"))
     found = found.limit(MAX_PATTERNS + 1).collect()
@@ -178,37 +179,65 @@ def mix(docs: DataFrame, keep: list[str], weights: list[float], sources: str = "
 def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Give ``_whole`` repetitions to every row and one more to rows that together have about ``_rest`` words.
 
-    The extra rows are the longest run in hash order that fits, and a few further rows
-    that fill most of what the run leaves open. Hash ranges are summed
-    first; only the range in which the run ends is ordered row by row, so no task ever
-    holds a whole pattern.
+    After a pass over all rows, passes over those still free that fit into what is open
+    are repeated until there are none: what stays open is less than any row left out. A pass's rows
+    follow from one line per pattern, so rows are joined once, after the last pass.
     """
-    rows = rows.withColumn("_order", F.shiftrightunsigned("_order", 1))
-    rows = rows.withColumn("_bucket", F.shiftright("_order", 63 - HASH_BITS).cast("int"))
-    sums = rows.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("_before", F.expr("sum(n) over (partition by _pattern order by _bucket) - n")).join(plan, "_pattern")
-    edge = sums.filter("_before < _rest and _rest <= _before + n").select("_pattern", F.col("_bucket").alias("_edge"), "_before")
-    edge = stage(plan.join(edge, "_pattern", "left"), "mix-edges")  # one row per pattern
-    rows = rows.join(edge, "_pattern")
-    upto = "sum(size) over (partition by _pattern order by _order rows between unbounded preceding and current row)"
-    inside = rows.filter("_bucket = _edge").withColumn("_at", F.expr(f"_before + {upto}"))
-    inside = inside.withColumn("_extra", F.expr("_at <= _rest"))
-    filled = inside.groupBy("_pattern").agg(F.max(F.expr("if(_extra, _at, _before)")).alias("_at"))
-    gaps = stage(edge.join(filled, "_pattern").select("_pattern", F.expr("_rest - _at").alias("_gap")).filter("_gap > 0"), "mix-gaps")
-    outside = rows.filter("_edge is null or _bucket <> _edge").withColumn("_extra", F.expr("coalesce(_bucket < _edge, false)"))
-    chosen = inside.drop("_at").unionByName(outside)
-
-    # Of the first rows after the run that are small enough, the largest that still fit, one after the other.
-    free = chosen.join(gaps, "_pattern").filter("not _extra and 0 < size and size <= _gap")
-    free = free.select("_pattern", "_gap", "_order", "size").withColumn("_n", F.expr("dense_rank() over (partition by _pattern order by _order)"))
-    free = free.filter(F.col("_n") <= FILL_ROWS).dropDuplicates(["_pattern", "_order"])
-    lists = free.groupBy("_pattern", "_gap").agg(F.sort_array(F.collect_list(F.struct("size", "_order")), asc=False).alias("l"))
-    start = F.struct(F.col("_gap").alias("left"), F.array().cast("array<bigint>").alias("at"))
-    take = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"),
-                                 F.array_append(acc["at"], x["_order"]).alias("at"))).otherwise(acc)
-    filling = stage(lists.select("_pattern", F.aggregate("l", start, take, lambda acc: acc["at"]).alias("_fill")), "mix-fills")
-    chosen = chosen.join(filling, "_pattern", "left").withColumn("_fits", F.expr("not _extra and coalesce(array_contains(_fill, _order), false)"))
-    last = F.expr("row_number() over (partition by _pattern, _order order by size)") == 1  # of equal rows only one
-    out = chosen.filter("_fits").withColumn("_extra", last).unionByName(chosen.filter("not _fits"))
-    epochs = F.when(F.col("size") > 0, F.col("_whole") + F.col("_extra").cast("int")).otherwise(0).cast("int")
+    free = rows.select("_pattern", "size", "_order", "_id").join(plan.select("_pattern", F.col("_rest").alias("_gap")), "_pattern")
+    free = stage(free.filter("0 < size and 0 < _gap"), "mix-free")  # the first pass stops at any row that is too large
+    steps = []
+    while not free.isEmpty():  # from the second pass on the first free row always fits, so every pass takes some
+        steps.append(_pass(free))
+        left = steps[-1].select("_pattern", F.col("_left").alias("_gap"), "_cut", "_fill")
+        free = free.drop("_gap").join(left, "_pattern").filter(f"size <= _gap and not ({_TAKEN})").select("_pattern", "size", "_order", "_id", "_gap")
+        free = stage(free, "mix-free")
+    taken = None
+    for step in steps:
+        taken = step if taken is None else taken.unionByName(step)
+    extra = F.lit(False)
+    if taken is not None:
+        taken = taken.groupBy("_pattern").agg(F.collect_list(F.struct("_gap", "_cut", "_fill")).alias("_steps"))
+        plan = stage(plan.join(taken, "_pattern", "left"), "mix-steps")  # one row per pattern
+        within = _TAKEN.replace("_cut", "s._cut").replace("_fill", "s._fill")
+        extra = F.expr(f"coalesce(exists(_steps, s -> size <= s._gap and ({within})), false)")
+    out = rows.join(plan, "_pattern")
+    epochs = F.when(F.col("size") > 0, F.col("_whole") + extra.cast("int")).otherwise(0).cast("int")
     return out.withColumn("epochs", epochs).select("_row", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+
+
+# Whether a pass took a row of its table of free rows: before the cut (null: all fit), or to fill the gap.
+_TAKEN = "_cut is null or _order < _cut._order or (_order = _cut._order and _id < _cut._id) or coalesce(array_contains(_fill, _id), false)"
+
+
+def _pass(free: DataFrame) -> DataFrame:
+    """Per pattern of ``free`` rows: which rows are taken into its ``_gap``, and the words ``_left`` open.
+
+    Taken are the longest run in hash order that fits, up to ``_cut``, and in ``_fill``
+    the largest that still fit of the next rows. Hash ranges are summed first; only the
+    range in which the run ends is ordered row by row, so no task ever holds a whole pattern.
+    """
+    free = free.withColumn("_bucket", F.shiftright("_order", 63 - HASH_BITS).cast("int"))
+    sums = free.groupBy("_pattern", "_gap", "_bucket").agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("_before", F.expr("sum(n) over (partition by _pattern order by _bucket) - n"))
+    sums = stage(sums, "mix-sums")
+    edge = sums.filter("_before <= _gap and _gap < _before + n").select("_pattern", F.col("_bucket").alias("_edge"), "_before")
+    inside = free.join(edge, "_pattern").filter("_bucket = _edge")
+    upto = "sum(size) over (partition by _pattern order by _order, _id rows between unbounded preceding and current row)"
+    inside = inside.withColumn("_at", F.expr(f"_before + {upto}"))
+    ends = inside.groupBy("_pattern").agg(F.max(F.expr("if(_at <= _gap, _at, _before)")).alias("_used"),
+                                          F.min(F.expr("if(_at > _gap, struct(_order, _id), null)")).alias("_cut"))
+    totals = sums.groupBy("_pattern", "_gap").agg(F.sum("n").alias("_all"))
+    runs = totals.join(ends, "_pattern", "left").select("_pattern", "_gap", "_cut", F.expr("_gap - coalesce(_used, _all)").alias("_left"))
+    runs = stage(runs, "mix-runs")
+
+    after = free.drop("_gap").join(runs.filter("_cut is not null and _left > 0"), "_pattern")
+    after = after.filter("size <= _left and (_order > _cut._order or (_order = _cut._order and _id > _cut._id))")
+    after = after.select("_pattern", "_left", "_order", "_id", "size")
+    after = after.withColumn("_n", F.expr("row_number() over (partition by _pattern order by _order, _id)")).filter(F.col("_n") <= FILL_ROWS)
+    lists = after.groupBy("_pattern", "_left").agg(F.sort_array(F.collect_list(F.struct("size", "_order", "_id")), asc=False).alias("l"))
+    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("at"))
+    take = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"),
+                                 F.array_append(acc["at"], x["_id"]).alias("at"))).otherwise(acc)
+    fills = lists.select("_pattern", F.aggregate("l", start, take).alias("_f"))
+    done = runs.join(fills, "_pattern", "left")
+    return stage(done.select("_pattern", "_gap", "_cut", F.col("_f.at").alias("_fill"), F.coalesce("_f.left", "_left").alias("_left")), "mix-step")

@@ -222,6 +222,32 @@ def test_mix_of_odd_rows_and_of_overlapping_sources(spark, odd_docs, no_docs):
     assert only_b <= 600 + 20  # source b's quota is 600 words
 
 
+def test_mix_fills_the_gap_before_a_document_of_a_third_or_more_of_its_source(spark):
+    rows = [(1000 * s + i, f"s{s:02d}", "w " * (4500 if i == 0 and s % 2 else 2400 if i == 0 else 30)) for s in range(24) for i in range(151)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = mixing.mix(docs, ["doc_id", "source"], [1.0], total_share=0.5).collect()
+    taken, target, smallest = Counter(), {}, {}
+    for r in got:
+        s = r["_row"].source
+        taken[s], target[s] = taken[s] + r.taken, r.target
+        assert r.epochs in (0, 1, 2, 3) and r.taken == r.epochs * r["size"]
+    for r in got:
+        if not r.epochs:
+            smallest[r["_row"].source] = min(smallest.get(r["_row"].source, r["size"]), r["size"])
+    assert len(got) == len(rows) and len(target) == 24
+    assert all(0 <= round(target[s]) - taken[s] < smallest.get(s, 30) for s in target)
+    assert sum(taken.values()) >= 0.99 * sum(target.values())
+
+
+def test_mix_passes_go_on_until_no_row_fits(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FILL_ROWS", 1)
+    rows = [(i, "s", "w " * (1 + i * i % 97)) for i in range(300)] + [(300, "s", "w " * 9000)] + [(301, "s", "w w w")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = mixing.mix(docs, ["doc_id"], [1.0], total_share=0.4).collect()
+    left = round(got[0].target) - sum(r.taken for r in got)
+    assert len(got) == len(rows) and 0 <= left < min(r["size"] for r in got if not r.epochs)
+
+
 def test_quality_scores(spark, sf_dir, documents, odd_docs, no_docs):
     rows = op10_nbsvm_quality(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in documents} and len(rows) == len(documents)
