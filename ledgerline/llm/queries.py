@@ -67,7 +67,7 @@ def op8_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = warc.responses_of(table(spark, sf_dir, "pages"), ["page_id"], WARC_DATE)
-    return warc.derivatives(responses, ["page_id"], with_record=False)
+    return warc.derivatives(responses, ["page_id"])
 
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

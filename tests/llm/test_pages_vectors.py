@@ -82,6 +82,27 @@ def test_derivatives_of_the_pages(spark, sf_dir, pages):
     assert len({r.record_id for r in rows}) == len(rows)
 
 
+def test_derivatives_of_the_pages_hold_their_records(spark, sf_dir, pages):
+    rows = {(r.page_id, r.record_type): r for r in op9_warc_derivatives(spark, sf_dir).collect()}
+    for p in pages:
+        source, http = warc.parse(warc.response(p.url, WARC_DATE, p.html.encode(), str(p.page_id)))
+        for kind in ("metadata", "conversion"):
+            r = rows[p.page_id, kind]
+            headers, block = warc.parse(r.record)
+            own = {k: warc.get(headers, k) for k, _ in headers}
+            assert own["WARC-Type"] == kind and own["WARC-Record-ID"] == r.record_id and own["WARC-Target-URI"] == p.url
+            assert own["WARC-Refers-To"] == warc.get(source, "WARC-Record-ID") and own["WARC-Date"] == WARC_DATE
+            assert own["WARC-Source-Payload-Digest"] == warc.digest(p.html.encode())
+            assert own["WARC-Block-Digest"] == warc.digest(block) == r.block_digest and len(block) == r.block_bytes
+            if kind == "conversion":
+                assert block.decode() == warc.plain_text(p.html) and own["WARC-Payload-Digest"] == warc.digest(block)
+            else:
+                notes = dict(warc.fields(block))
+                assert notes["source-record-id"] == r.refers_to and notes["http-status"] == "HTTP/1.1 200 OK"
+                assert notes["source-block-digest"] == warc.digest(http)
+                assert notes["http-header-content-length"] == str(len(p.html.encode()))
+
+
 def test_round_trip_and_links_of_serialised_records():
     raw = warc.response("http://x/é", WARC_DATE, "<p>one &amp; two</p><script>no</script>three".encode(), "7")
     meta, text = warc.derive(gzip.compress(raw))
