@@ -35,6 +35,8 @@ from ledgerline.llm.common import hash_sample, prepare
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "textarea",
           "button", "title"}
+# What a head may hold; any other start tag, or text, ends a head whose end tag is left out.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl",
          "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
          "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody",
@@ -75,10 +77,22 @@ class Node:
 
 
 class Page(HTMLParser):
-    """The element tree of a page and its text blocks in page order, each with its element's number."""
+    """The element tree of a page and its text blocks in page order, each with its element's number.
+
+    Silent elements that turn out to have no end tag of their own hide text up to the
+    next block-level element only; the page is then read a second time, knowing them.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self._unclosed: set[int] = set()
+        self._read(html)
+        if self._implied:
+            self._unclosed = self._implied
+            self.reset()
+            self._read(html)
+
+    def _read(self, html: str) -> None:
         self.nodes = [Node("#page", -1)]
         self.blocks: list[tuple[int, str]] = []
         self._stack = [0]
@@ -86,9 +100,11 @@ class Page(HTMLParser):
         self._links = 0
         self._text: list[str] = []
         self._owner = 0
+        self._implied: set[int] = set()  # silent elements that ended without an end tag
         self.feed(html)
         self.close()
         self._end_block()
+        self._implied.update(k for k in self._stack if self.nodes[k].tag in SILENT)
 
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
@@ -97,7 +113,19 @@ class Page(HTMLParser):
             self.blocks.append((self._owner, text))
             self.nodes[self._owner].blocks += 1
 
+    def _end_silent(self, tag: str) -> None:
+        """End the silent elements that ``tag`` cannot stand in."""
+        if tag == "body" and any(self.nodes[k].tag == "head" for k in self._stack):
+            self._close("head")
+        while self._silent:
+            k = next(k for k in reversed(self._stack) if self.nodes[k].tag in SILENT)
+            if not (tag in BLOCK and k in self._unclosed) and not (self.nodes[k].tag == "head" and tag not in IN_HEAD):
+                return
+            self._close(self.nodes[k].tag)
+
     def handle_starttag(self, tag, attrs):
+        if self._silent:
+            self._end_silent(tag)
         if tag in BLOCK:
             self._end_block()
             if "p" in self._open_since_barrier({"button", "td", "th", "caption", "html"}):
@@ -133,8 +161,11 @@ class Page(HTMLParser):
         if tag in BLOCK:
             self._end_block()
         while len(self._stack) > 1:
-            node = self.nodes[self._stack.pop()]
+            k = self._stack.pop()
+            node = self.nodes[k]
             self._silent -= node.tag in SILENT
+            if node.tag in SILENT and node.tag != tag:
+                self._implied.add(k)
             self._links -= node.tag == "a"
             if node.tag == tag:
                 return
@@ -144,6 +175,8 @@ class Page(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data):
+        if self._silent and self.nodes[self._stack[-1]].tag == "head" and data.strip():
+            self._close("head")
         if self._silent:
             return
         owner = next(k for k in reversed(self._stack) if k == 0 or self.nodes[k].tag in BLOCK)

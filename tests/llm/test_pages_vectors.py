@@ -50,6 +50,21 @@ def test_other_layouts_and_odd_html(spark, pages):
     assert html_tree.extract(frame.limit(0), ["page_id"]).collect() == []
 
 
+def test_left_out_end_tags_hide_no_text(pages):
+    model = html_tree.train([p.html for p in pages])
+    want = html_tree.main_text(OTHER_PAGE, model)
+    heads = ["<html><head><title>x</title>", "<head><meta charset=utf-8><title>x</title><style>p {}</style>",
+             "<head><noscript><p>Turn it on</p></noscript><link href=x>", "<head><noscript><img src=x>", "<head><template><div>no</div></template>"]
+    for head in heads:
+        assert html_tree.main_text(head + OTHER_PAGE, model) == want
+        assert html_tree.main_text(head + OTHER_PAGE.removeprefix("<body>"), model) == want
+    for opened in ("<button>Go", "<select><option>a<option>b", "<noscript>", "<button>Go <select><option>a", "<button><div>no</div></button>",
+                   "<button>one<button>two</button>", "<noscript><p>no</p></noscript>"):
+        assert html_tree.main_text(OTHER_PAGE.replace("<main>", f"<main>{opened}"), model) == want
+        assert html_tree.main_text(OTHER_PAGE.replace("<main>", f"{opened}<main>"), model) == want
+    assert html_tree.Page("<head><title>x</title>Loose <b>text</b>").blocks == [(0, "Loose text")]
+
+
 def test_marginals_equal_the_sum_over_all_states(pages):
     model = html_tree.train([p.html for p in pages[:10]])
     page = html_tree.Page("<div class=ad><p>some words here</p><a href=x>l</a></div><article><p>one two. <b>x</b></p></article>")
