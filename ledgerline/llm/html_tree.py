@@ -61,6 +61,9 @@ FEATURE_PRIOR = 0.2
 # Elements of a kind's overall mix that are added to each parent state, and to the kind itself for its class.
 PAIR_PRIOR, KIND_PRIOR = 5.0, 50.0
 
+# A start tag that gives a page labels.
+MARKED = r"(?i)<(article|main)[\s/>]"
+
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -307,10 +310,11 @@ def main_text(html: str | None, model: TreeModel) -> str:
 def extract(pages: DataFrame, keep: list[str], html: str = "html", train_pages: int = 500) -> DataFrame:
     """``keep`` columns of every page with ``text`` and ``n_chars`` (code points).
 
-    The model is fitted to about ``train_pages`` pages, taken by hash.
+    The model is fitted to about ``train_pages`` of the pages that can have labels, taken by hash.
     """
     prepare(pages.sparkSession)
-    chosen = hash_sample(pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("_h")), "_h", train_pages).collect()
+    marked = pages.filter(F.col(html).rlike(MARKED)).select(F.col(html).alias("_h"))
+    chosen = hash_sample(marked, "_h", train_pages).collect()
     model = train([r["_h"] for r in chosen])
 
     @F.pandas_udf("string")

@@ -65,6 +65,17 @@ def test_left_out_end_tags_hide_no_text(pages):
     assert html_tree.Page("<head><title>x</title>Loose <b>text</b>").blocks == [(0, "Loose text")]
 
 
+def test_training_pages_are_taken_from_those_with_labels(spark, monkeypatch):
+    seen, fit = [], html_tree.train
+    monkeypatch.setattr(html_tree, "train", lambda found: seen.extend(found) or fit(found))
+    bare = [(i, f"<body><div><p>Page {i} has no mark, only <b>articles</b> in its text.</p></div>") for i in range(1500)]
+    marked = [(2000 + i, f"<body><p>menu</p><{t}><p>Page {i} is told by its element.</p></{t.split()[0]}>")
+              for i in range(30) for t in ("article", "MAIN class=x")]
+    frame = spark.createDataFrame(bare + marked + [(None, None)], "page_id long, html string")
+    assert html_tree.extract(frame, ["page_id"], train_pages=30).count() == 1561
+    assert 15 <= len(seen) <= 45 and all(html_tree.labels(html_tree.Page(p)) for p in seen)
+
+
 def test_marginals_equal_the_sum_over_all_states(pages):
     model = html_tree.train([p.html for p in pages[:10]])
     page = html_tree.Page("<div class=ad><p>some words here</p><a href=x>l</a></div><article><p>one two. <b>x</b></p></article>")
