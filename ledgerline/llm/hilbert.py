@@ -1,6 +1,7 @@
 """Operator 5: shards as runs of a Hilbert curve over several metadata columns.
 
-Each column is quantised at quantiles of its own distribution, the cells are
+Each column is quantised at quantiles of its own distribution (strings by their
+place among the column's distinct values, compared whole), the cells are
 numbered along a Hilbert curve, rows are sorted by that number, and equal runs of
 the order become shards: a shard's files span a compact box in every column, so
 predicates on any of them prune.
@@ -12,18 +13,15 @@ on its own. An empty table gives no rows.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import global_rank, prepare, stage
 
 BITS = 6
-PREFIX_BYTES = 6
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -59,25 +57,22 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def ordinal(column: str, kind: T.DataType, shared: int) -> Column:
-    """A number in the column's order: numbers themselves, strings by the bytes after their common prefix."""
-    if isinstance(kind, T.StringType):
-        tail = F.substring(F.encode(F.col(column), "UTF-8"), shared + 1, PREFIX_BYTES)
-        code = F.conv(F.rpad(F.hex(tail), 2 * PREFIX_BYTES, "0"), 16, 10)
-        return F.coalesce(code.cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
+def with_place(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the place of a string among the column's distinct values; null for null."""
+    values = rows.select(F.col(column).alias("_value")).filter("_value is not null").distinct()
+    places = stage(global_rank(values, ["_value"], "values", name)[0], "places")
+    return rows.join(places, rows[column] == places["_value"], "left").drop("_value")
 
 
 def with_curve(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """``rows`` with ``curve``, the Hilbert index over ``dimensions``."""
-    texts = [c for c in dimensions if isinstance(rows.schema[c].dataType, T.StringType)]
-    shared = dict.fromkeys(dimensions, 0)
-    if texts:
-        ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in texts for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        for c in texts:
-            if ends[f"lo_{c}"] is not None:
-                shared[c] = len(os.path.commonprefix([ends[f"lo_{c}"].encode(), ends[f"hi_{c}"].encode()]))
-    numbers = {c: ordinal(c, rows.schema[c].dataType, shared[c]) for c in dimensions}
+    """``rows`` with ``curve``, the Hilbert index over ``dimensions``; strings count by their place among all values."""
+    numbers = {}
+    for k, c in enumerate(dimensions):
+        name = c
+        if isinstance(rows.schema[c].dataType, T.StringType):
+            name = f"_place{k}"
+            rows = with_place(rows, c, name)
+        numbers[c] = F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = rows.agg(*[F.percentile_approx(v, steps, 1 << (bits + 4)).alias(c) for c, v in numbers.items()]).first()
     edges = [np.array(cuts[c] or [], np.float64) for c in dimensions]
@@ -87,7 +82,7 @@ def with_curve(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> Data
         cells = np.column_stack([np.searchsorted(e, c.to_numpy(), side="right") for e, c in zip(edges, columns)])
         return pd.Series(hilbert_index(cells, bits))
 
-    return rows.withColumn("curve", curve(*numbers.values()))
+    return rows.withColumn("curve", curve(*numbers.values())).drop(*[f"_place{k}" for k in range(len(dimensions))])
 
 
 def hilbert_shards(docs: DataFrame, dimensions: list[str], shards: int = 16, id_col: str = "doc_id",

@@ -93,6 +93,17 @@ def test_shards(spark, sf_dir, documents, odd_docs, no_docs):
     assert hilbert.hilbert_shards(no_docs, ["lang", "size"]).collect() == []
 
 
+def test_an_outlying_string_does_not_merge_the_others(spark):
+    rows = [(i, f"www.example{i % 640:04d}.com") for i in range(3200)] + [(9000, "a.com"), (9001, None)]
+    docs = spark.createDataFrame([(i, "t", s) for i, s in rows], "doc_id long, text string, source string")
+    got = hilbert.hilbert_shards(docs, ["source"]).collect()
+    assert len(got) == len(rows) and len({r.curve for r in got}) >= 48
+    spans = {}
+    for r in got:
+        spans.setdefault(r.shard, set()).add(r.source or "")
+    assert all(len(s) <= 80 for s in spans.values())  # 16 shards over 640 hosts, in cells of ten
+
+
 def fingerprint(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = WORDS.findall(lower)
