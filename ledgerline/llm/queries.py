@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann_forest, hilbert, host_rules, html_tree, mixing, nbsvm, packing, simhash, token_counts, warc
-from ledgerline.llm.common import table
+from ledgerline.llm import ann_forest, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, token_counts, warc
+from ledgerline.llm.common import let, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -77,6 +77,33 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("_row.doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.withColumn("_periodic", with_periods(F.col("doc_id"), F.col("text"))), ["doc_id"], "_periodic")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    higher = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    found = found.withColumn("_top", F.aggregate("runs", F.get("runs", F.lit(0)), higher))
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("_row.doc_id", F.size("runs").cast("long").alias("n_runs"), "_top.start", "_top.length", "_top.period",
+                        F.expr("1000 * _top.length div _top.period").alias("exponent_milli"),
+                        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def with_periods(doc_id: Column, text: Column) -> Column:
+    """The contract's input: in a tenth of the documents, by their id, the words from some place on repeat with a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+
+    def repeated(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        copies = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(copies, 1, n - a)), " "))
+
+    return F.when(h % 10 == 0, let(words_of(text), repeated)).otherwise(text)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_projection_forest, op3_host_rules, op4_prefix_token_counts, op5_hilbert_shards,
-    op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality)}
+    op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality, op11_periodic_runs)}
