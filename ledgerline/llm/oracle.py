@@ -49,4 +49,41 @@ SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
 FROM flagged f JOIN verdicts v ON v.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLE_SQL = {"op3_host_rules": HOST_RULES}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# Only documents that share a term with an item can score; all of these are scored and ranked.
+LEXICAL_SEARCH = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms
+  FROM documents
+),
+totals AS (SELECT CAST(count(*) FILTER (WHERE len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM texts),
+occurs AS (
+  SELECT row_id, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row_id, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM texts) GROUP BY ALL
+),
+asked AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark)
+  GROUP BY ALL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM occurs GROUP BY term), totals
+),
+scored AS (
+  SELECT a.item_id, o.row_id, o.doc_id,
+         CAST(sum(a.times * w.w * ((1000000000 * o.tf) // (1000 * o.tf + 12 * (75 + (25 * o.n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked a JOIN weights w USING (term) JOIN occurs o USING (term), totals
+  GROUP BY a.item_id, o.row_id, o.doc_id
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op3_host_rules": HOST_RULES, "op13_bit_sliced_search": LEXICAL_SEARCH}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann_forest, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, token_counts, warc
+from ledgerline.llm import ann_forest, bitslices, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, token_counts, warc
 from ledgerline.llm.common import let, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -104,6 +104,11 @@ def with_periods(doc_id: Column, text: Column) -> Column:
     return F.when(h % 10 == 0, let(words_of(text), repeated)).otherwise(text)
 
 
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_projection_forest, op3_host_rules, op4_prefix_token_counts, op5_hilbert_shards,
-    op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality, op11_periodic_runs)}
+    op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality, op11_periodic_runs,
+    op13_bit_sliced_search)}
