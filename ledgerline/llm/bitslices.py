@@ -31,6 +31,7 @@ items there are no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,10 +54,15 @@ LIMIT = 1_000_000
 
 @dataclass(frozen=True)
 class SignatureParams:
-    """``block_rows`` documents per block; about half of a block's bits are set at ``hashes`` rows per term."""
+    """At most ``block_rows`` documents per block; about half of a block's bits are set at ``hashes`` rows per term."""
 
     block_rows: int = 2048
+    # A block of this many documents ends before one that is more than twice as long as its first: one long
+    # document among short ones would have most of its bits set, and with them a loose bound.
+    even_rows: int = 128
     hashes: int = 8
+    # Documents scored per item to find its floor, as a multiple of k.
+    floor_pool: int = 10
     # Items searched together; more items are searched in further rounds over the index.
     item_bytes: int = 1 << 20
     # Scored pairs (item, document) are met by a broadcast up to this many, else by a shuffle.
@@ -124,8 +130,12 @@ def build_index(docs: DataFrame, id_col: str, text: str, params: SignatureParams
 
     def blocks(keys: list, texts: list) -> Iterator[tuple]:
         order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
-        for at in range(0, len(order), params.block_rows):
-            of = order[at : at + params.block_rows]
+        size = [len(texts[i] or "") for i in order]
+        at = 0
+        while at < len(order):
+            end = min(at + params.block_rows, len(order))
+            end = min(end, max(bisect_right(size, 2 * size[at]), at + params.even_rows))
+            of, at = order[at:end], end
             rows, lengths, bits = build_block([texts[i] for i in of], params)
             yield [keys[i] for i in of], lengths.astype("<i8").tobytes(), rows, bits.tobytes()
 
@@ -330,7 +340,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
             continue
         # Floors: the k-th best exact score among the documents with the highest bounds.
         high = stage(_candidates(index, id_type, queries, params, best=k), "search-bounds")
-        high = _first(high.withColumnRenamed("bound", "score"), 2 * k).select("item", "id")
+        high = _first(high.withColumnRenamed("bound", "score"), params.floor_pool * k).select("item", "id")
         exact = stage(_rescore(docs, id_col, text, high, queries, params), "search-floors")
         floors = [0] * len(texts)
         for r in _first(exact, k).filter(F.col("rank") == k).select("item", "score").collect():
