@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann_forest, bitslices, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, token_counts, warc
+from ledgerline.llm import ann_forest, bitslices, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, skip_chain, token_counts, warc
 from ledgerline.llm.common import let, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -104,6 +104,16 @@ def with_periods(doc_id: Column, text: Column) -> Column:
     return F.when(h % 10 == 0, let(words_of(text), repeated)).otherwise(text)
 
 
+def op12_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = skip_chain.personal_data(docs, skip_chain.train(docs), ["doc_id"])
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("_row.doc_id", *[count(k) for k in skip_chain.KINDS],
+                        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -111,4 +121,4 @@ def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_projection_forest, op3_host_rules, op4_prefix_token_counts, op5_hilbert_shards,
     op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality, op11_periodic_runs,
-    op13_bit_sliced_search)}
+    op12_skip_chain_pii, op13_bit_sliced_search)}
