@@ -284,7 +284,7 @@ def beliefs(field: Field, weights: Weights, held: np.ndarray, passes: int) -> np
     for _ in range(passes):
         total = own.copy()
         np.add.at(total, target, message)
-        sent = total[source] - message[back]
+        sent = np.where(held[source, None], own[source], total[source] - message[back])  # what is held hears nothing
         new = sent[:, :1] + pair[pair_of, 0]
         for label in range(1, LABELS):
             new = np.logaddexp(new, sent[:, label : label + 1] + pair[pair_of, label])
@@ -295,6 +295,7 @@ def beliefs(field: Field, weights: Weights, held: np.ndarray, passes: int) -> np
         message = 0.5 * (message + new)
     total = own.copy()
     np.add.at(total, target, message)
+    total[held] = own[held]
     return _normalised(total)
 
 
