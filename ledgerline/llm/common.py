@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import scratch_dir, ship_package
+from ledgerline.session import delete_path, scratch_dir, ship_package
 
 # A word is a maximal run of characters other than space and U+0009..U+000D.
 GAP = "[ \\t-\\r]"
@@ -18,12 +19,22 @@ BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship the package to the Python workers and bound the Arrow batches."""
+    """Ship the package to the Python workers."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
+def bounded(query):
+    """A registered query or stage that first bounds the session's Arrow batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +48,49 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            delete_path(df.sparkSession, path)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows as struct ``_row`` with ``_file`` and ``_at``, which name a row for good.
+
+    A table read from files has them already. Anything else is staged first: its rows
+    need not come out in the same order when they are computed again.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = stage(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), place["file_path"].alias("_file"), place["row_index"].alias("_at"))
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The ``_row`` structs of the keyed ``rows`` whose ``_file`` and ``_at`` are among ``kept``.
+
+    What is kept is gathered into bitmaps of 32,768 rows of a file, a bit for each row.
+    Their size is measured; up to ``broadcast_bytes`` they are broadcast, so the wide rows
+    stay where they are read. Beyond it the wide rows are shuffled to the kept keys.
+    """
+    kept = stage(kept.select("_file", "_at"), "kept")
+    place = F.col("_at") + 1
+    bits = kept.groupBy("_file", F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    bits = stage(bits, "kept-bits")
+    held = bits.agg(F.coalesce(F.sum(F.octet_length("_bits") + F.octet_length("_file")), F.lit(0))).first()[0]
+    if held > broadcast_bytes:
+        return rows.join(kept, ["_file", "_at"], "left_semi").select("_row")
+    unstage(kept)
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_part", F.bitmap_bucket_number(place)).join(F.broadcast(bits), ["_file", "_part"])
+    return found.filter(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))) % 2 == 1).select("_row")
 
 
 def let(value: Column, body) -> Column:

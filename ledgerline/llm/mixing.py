@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import stage, word_count
+from ledgerline.llm.common import keyed, stage, unstage, word_count
 
 MAX_PATTERNS = 100_000
 HASH_BITS = 12
@@ -143,16 +143,19 @@ def mix(docs: DataFrame, keep: list[str], weights: list[float], sources: str = "
     Also ``source_size`` and ``target`` of the row's (first) source.
     """
     spark = docs.sparkSession
-    member = F.col(sources)
+    docs_by_key = keyed(docs)
+    member = F.col(f"_row.`{sources}`")
     if not isinstance(docs.schema[sources].dataType, T.ArrayType):
         member = F.array(member)
     member = F.when(F.size(member) > 0, F.array_sort(F.array_distinct(member))).otherwise(F.array(F.lit(None).cast("string")))
     # Equal rows have equal places in the seeded order; which of them is taken makes no difference.
-    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in keep], F.col(text))
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), member.alias("_pattern"),
-                       word_count(F.col(text)).alias("size"), F.shiftrightunsigned(order, 1).alias("_order"),
-                       F.monotonically_increasing_id().alias("_id"))
-    rows = stage(rows, "mix")  # from here on every row has its own _id
+    kept, whole_text = [F.col(f"_row.`{c}`") for c in keep], F.col(f"_row.`{text}`")
+    order = F.xxhash64(F.lit(seed), *kept, whole_text)
+    documents = docs_by_key.select(F.struct(*[c.alias(n) for c, n in zip(kept, keep)]).alias("_row"), member.alias("_pattern"),
+                                   word_count(whole_text).alias("size"), F.shiftrightunsigned(order, 1).alias("_order"),
+                                   F.struct("_file", "_at").alias("_id"))
+    # Narrow rows are staged and decided on; the documents are read once more and follow from the decisions.
+    rows = stage(documents.drop("_row"), "mix")
 
     found = rows.groupBy("_pattern").agg(F.sum("size").alias("size"))
     found = found.limit(MAX_PATTERNS + 1).collect()
@@ -173,10 +176,10 @@ def mix(docs: DataFrame, keep: list[str], weights: list[float], sources: str = "
             for (p, size), t in zip(found, taken)]
     schema = "_pattern array<string>, _size long, source_size long, target double, _whole int, _rest long"
     plan = stage(spark.createDataFrame(plan, schema).coalesce(1), "mix-plan")
-    return _select(rows, plan)
+    return _select(documents, rows, plan)
 
 
-def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _select(documents: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Give ``_whole`` repetitions to every row and one more to rows that together have about ``_rest`` words.
 
     After a pass over all rows, passes over those still free that fit into what is open
@@ -189,8 +192,11 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
     while not free.isEmpty():  # from the second pass on the first free row always fits, so every pass takes some
         steps.append(_pass(free))
         left = steps[-1].select("_pattern", F.col("_left").alias("_gap"), "_cut", "_fill")
-        free = free.drop("_gap").join(left, "_pattern").filter(f"size <= _gap and not ({_TAKEN})").select("_pattern", "size", "_order", "_id", "_gap")
-        free = stage(free, "mix-free")
+        rest = free.drop("_gap").join(left, "_pattern").filter(f"size <= _gap and not ({_TAKEN})").select("_pattern", "size", "_order", "_id", "_gap")
+        rest = stage(rest, "mix-free")
+        unstage(free)
+        free = rest
+    unstage(free, rows)
     taken = None
     for step in steps:
         taken = step if taken is None else taken.unionByName(step)
@@ -200,7 +206,7 @@ def _select(rows: DataFrame, plan: DataFrame) -> DataFrame:
         plan = stage(plan.join(taken, "_pattern", "left"), "mix-steps")  # one row per pattern
         within = _TAKEN.replace("_cut", "s._cut").replace("_fill", "s._fill")
         extra = F.expr(f"coalesce(exists(_steps, s -> size <= s._gap and ({within})), false)")
-    out = rows.join(plan, "_pattern")
+    out = documents.join(plan, "_pattern")
     epochs = F.when(F.col("size") > 0, F.col("_whole") + extra.cast("int")).otherwise(0).cast("int")
     return out.withColumn("epochs", epochs).select("_row", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
 
@@ -235,9 +241,11 @@ def _pass(free: DataFrame) -> DataFrame:
     after = after.select("_pattern", "_left", "_order", "_id", "size")
     after = after.withColumn("_n", F.expr("row_number() over (partition by _pattern order by _order, _id)")).filter(F.col("_n") <= FILL_ROWS)
     lists = after.groupBy("_pattern", "_left").agg(F.sort_array(F.collect_list(F.struct("size", "_order", "_id")), asc=False).alias("l"))
-    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("at"))
+    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<struct<_file:string,_at:bigint>>").alias("at"))
     take = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"),
                                  F.array_append(acc["at"], x["_id"]).alias("at"))).otherwise(acc)
     fills = lists.select("_pattern", F.aggregate("l", start, take).alias("_f"))
     done = runs.join(fills, "_pattern", "left")
-    return stage(done.select("_pattern", "_gap", "_cut", F.col("_f.at").alias("_fill"), F.coalesce("_f.left", "_left").alias("_left")), "mix-step")
+    done = stage(done.select("_pattern", "_gap", "_cut", F.col("_f.at").alias("_fill"), F.coalesce("_f.left", "_left").alias("_left")), "mix-step")
+    unstage(sums, runs)
+    return done

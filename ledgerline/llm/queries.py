@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import ann_forest, bitslices, hilbert, host_rules, html_tree, mixing, nbsvm, packing, runs, simhash, skip_chain, token_counts, warc
-from ledgerline.llm.common import let, table, words_of
+from ledgerline.llm.common import bounded, let, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -66,8 +66,8 @@ def op8_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = warc.responses_of(table(spark, sf_dir, "pages"), ["page_id"], WARC_DATE)
-    return warc.derivatives(responses, ["page_id"])
+    found = warc.page_derivatives(table(spark, sf_dir, "pages"), ["page_id"], WARC_DATE)
+    return found.select("_row.page_id", *[c for c in found.columns if c != "_row"])
 
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {f.__name__: bounded(f) for f in (
     op1_sum_of_squares_packing, op2_projection_forest, op3_host_rules, op4_prefix_token_counts, op5_hilbert_shards,
     op6_simhash_tiles, op7_dom_sum_product, op8_min_cost_mix, op9_warc_derivatives, op10_nbsvm_quality, op11_periodic_runs,
     op12_skip_chain_pii, op13_bit_sliced_search)}

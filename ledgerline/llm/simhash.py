@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import prepare, stage
+from ledgerline.llm.common import keep_rows, keyed, prepare, stage, unstage
 
 SEED = 42
 TILE_ROWS = 4096
@@ -175,9 +175,10 @@ def _to_roots(hook: DataFrame) -> DataFrame:
     """Follow the hooks (u, to), which only lead downwards, until each points at its last node."""
     while True:
         further = hook.select(F.col("u").alias("to"), F.col("to").alias("next"))
-        jumped = stage(hook.join(further, "to").select("u", "to", "next"), "hooks")
-        hook = jumped.select("u", F.col("next").alias("to"))
-        if jumped.filter("next <> to").isEmpty():
+        jumped = stage(hook.join(further, "to").select("u", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("on")), "hooks")
+        unstage(hook)
+        hook = jumped
+        if jumped.filter("on").isEmpty():
             return hook
 
 
@@ -195,34 +196,49 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to"))
         hook = _to_roots(stage(hook, "hooks"))
-        of_u = hook.withColumnRenamed("to", "a")
+        of_u = hook.select("u", F.col("to").alias("a"))
         of_v = hook.select(F.col("u").alias("v"), F.col("to").alias("b"))
         moved = edges.join(of_u, "u").join(of_v, "v").filter("a <> b")
-        edges = stage(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-        step = hook.withColumnRenamed("u", "root")
-        labels = stage(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        moved = stage(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        step = hook.select(F.col("u").alias("root"), "to")
+        renamed = stage(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        unstage(edges, hook, labels)
+        edges, labels = moved, renamed
+    unstage(edges)
     return labels
 
 
 def fingerprints(docs: DataFrame, keep: list[str], width: int, id_col: str, text: str) -> DataFrame:
-    """Staged rows: ``keep`` columns as struct ``_row``, ``_id``, ``fp`` and ``_n``, which tells all rows apart."""
+    """Staged rows: ``keep`` columns as struct ``_row``, ``_id`` and ``fp``."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"),
-                       fingerprint_column(F.col(text), width).alias("fp"))
-    return stage(rows.withColumn("_n", F.monotonically_increasing_id()), "prints")
+    return stage(docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"),
+                             fingerprint_column(F.col(text), width).alias("fp")), "prints")
+
+
+def linked_classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp`` and ``root`` of the distinct fingerprints that have a link; ``root`` names the component."""
+    found = components(links(prints, radius))
+    renamed = found.withColumnRenamed("node", "fp")
+    renamed._staged_at = found._staged_at
+    return renamed
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
     """``fp``, ``root`` and ``component_id`` of every distinct fingerprint of ``rows``.
 
     ``root`` names the component (a fingerprint without links is its own);
-    ``component_id`` is the smallest id in it.
+    ``component_id`` is the smallest id in it. Only fingerprints with links are grouped
+    by component, and the group's row is staged, so that a join with a large component can be split.
     """
     prints = stage(rows.groupBy("fp").agg(F.min("_id").alias("first_id")), "distinct-prints")
-    labels = components(links(prints, radius)).withColumnRenamed("node", "fp")
-    named = stage(prints.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named-prints")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return stage(named.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    labels = linked_classes(prints, radius)
+    named = stage(prints.join(labels, "fp", "left"), "named-prints")
+    linked = named.filter("root is not null")
+    smallest = stage(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    alone = named.filter("root is null").select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
+    found = stage(linked.join(smallest, "root").select("fp", "root", "component_id").union(alone), "components")
+    unstage(prints, labels, named, smallest)
+    return found
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, radius: int = 4, id_col: str = "doc_id",
@@ -234,12 +250,19 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, radius: in
 
 def keep_one(docs: DataFrame, keep: list[str], width: int = 4, radius: int = 4, id_col: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """The ``keep`` columns of one row of each component: the one with the smallest id.
+    """The ``keep`` columns of one row of each component: the one with the smallest id (null last).
 
-    The survivors are chosen on narrow rows; the wide rows move once, to meet them.
+    Narrow rows with the place of each document are staged; the first of each fingerprint,
+    then of each component, is kept. The documents themselves are only read again and filtered.
     """
-    rows = fingerprints(docs, keep, width, id_col, text)
-    narrow = rows.select("fp", "_id", "_n").join(classes(rows, radius), "fp")
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_n")).alias("first")
-    survivors = stage(narrow.groupBy("root").agg(first).select("first._n"), "survivors")
-    return rows.join(survivors, "_n", "left_semi").select("_row.*")
+    prepare(docs.sparkSession)
+    rows = keyed(docs)
+    prints = stage(rows.select(fingerprint_column(F.col(f"_row.`{text}`"), width).alias("fp"), F.col(f"_row.`{id_col}`").alias("_id"), "_file", "_at"), "prints")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_file", "_at")).alias("first")
+    firsts = stage(prints.groupBy("fp").agg(first), "distinct-prints")
+    labels = linked_classes(firsts.select("fp"), radius)
+    alone = firsts.join(labels, "fp", "left_anti").select("first")
+    of_class = firsts.join(labels, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first")
+    kept = keep_rows(rows, alone.union(of_class).select("first._file", "first._at"))
+    unstage(prints, firsts, labels)  # the kept rows are staged
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep])

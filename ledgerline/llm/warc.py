@@ -8,7 +8,12 @@ WARC-Refers-To and keep its target, date and payload digest.
 A record that is null, not a response, or not parsable yields no derivatives and
 is reported with its reason by ``rejected``; a digest that does not match its
 block is kept as found and flagged. Empty bodies give an empty conversion. Every
-occurrence of a repeated record yields its own pair with the same identifiers.
+occurrence of a repeated record yields its own pair with the same identifiers. An
+empty table gives no rows; records of any length are read whole; columns kept from
+the input come as struct ``_row``, so no name in them can clash with the results.
+
+Chunked bodies are joined and gzip and deflate bodies unpacked before the text is
+read; digests are those of the bodies as stored.
 """
 
 from __future__ import annotations
@@ -19,9 +24,10 @@ import hashlib
 import html as html_text
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +36,15 @@ from ledgerline.llm.common import prepare
 VERSION = b"WARC/1.1"
 END = b"\r\n"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 9562
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>", re.I | re.S)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|form|blockquote|pre)\b[^>]*|br\b[^>]*)>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+# Fixed HTML vocabulary: elements that end a line of text, and those whose content is no text of the page.
+_BREAKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+                    "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+_HIDDEN = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp", "noscript", "template")}
+# Without an end tag these hide the rest of the page, as browsers read it; the last two then hide nothing.
+_TO_THE_END = frozenset(_HIDDEN) - {"noscript", "template"}
+_OPENING = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_PLAIN_PART = re.compile(r"[^>=]*")
+_VALUE = re.compile(r"\s*+(?:[\"']|[^\s>]*+)")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -70,7 +82,7 @@ def parse(raw: bytes | None) -> tuple[list[tuple[str, str]], bytes]:
     if raw[:2] == b"\x1f\x8b":
         try:
             raw = gzip.decompress(raw)
-        except (OSError, EOFError) as e:
+        except (OSError, EOFError, zlib.error) as e:
             raise ValueError(f"broken gzip: {e}") from None
     head, gap, rest = raw.partition(END + END)
     version, _, head = head.partition(END)
@@ -97,9 +109,83 @@ def response(url: str, date: str, body: bytes, key: str) -> bytes:
     ], http + END + END + body)
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place after a tag's ``>``, outside of quoted values; the page's end if there is none."""
+    while True:
+        at = _PLAIN_PART.match(page, at).end()
+        if at >= len(page):
+            return at
+        if page[at] == ">":
+            return at + 1
+        value = _VALUE.match(page, at + 1)
+        at = value.end()
+        if value[0][-1:] in ("'", '"') and value[0].strip() in ("'", '"'):
+            at = page.find(page[at - 1], at) + 1 or len(page)
+
+
 def plain_text(page: str) -> str:
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html_text.unescape(text))).strip()
+    """The text of a page, a line for each block-level element; one pass, in time linear in the page's length."""
+    out, at, endless = [], 0, set()
+    while (found := page.find("<", at)) >= 0:
+        out.append(html_text.unescape(page[at:found]))
+        tag = _OPENING.match(page, found + 1)
+        if tag is None:
+            if page.startswith("<!--", found):
+                at = page.find("-->", found + 2) + 3  # <!--> is a whole comment
+                at = at if at > 2 else len(page)
+            elif page[found + 1 : found + 2] in ("!", "?", "/"):
+                at = page.find(">", found + 1) + 1 or len(page)
+            else:
+                out.append("<")
+                at = found + 1
+            continue
+        at = _tag_end(page, tag.end())
+        name = tag[2].lower()
+        if name in _BREAKS:
+            out.append("\n")
+        if not tag[1] and name in _HIDDEN and name not in endless:
+            end = _HIDDEN[name].search(page, at)
+            if end:
+                at = end.start()
+            elif name in _TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(name)
+    out.append(html_text.unescape(page[at:]))
+    return _LINES.sub("\n", _BLANKS.sub(" ", "".join(out))).strip()
+
+
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.find(END, at)
+        try:
+            size = int(data[at:end].partition(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(data):
+            raise ValueError("broken chunks")
+        if size == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def decoded(http: list[tuple[str, str]], stored: bytes) -> tuple[bytes, bytes]:
+    """The payload (without transfer coding) and the document (without content codings) of a stored body."""
+    payload = _unchunked(stored) if "chunked" in (get(http, "Transfer-Encoding") or "").lower() else stored
+    body = payload
+    for coding in reversed([c.strip().lower() for c in (get(http, "Content-Encoding") or "").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompress(body, 15 if body[:1] and body[0] & 15 == 8 else -15)
+            elif coding not in ("", "identity"):
+                raise ValueError(f"unknown content coding: {coding}")
+        except (OSError, EOFError, zlib.error) as e:
+            raise ValueError(f"broken {coding} body: {e}") from None
+    return payload, body
 
 
 def derive(raw: bytes) -> list[dict]:
@@ -110,15 +196,18 @@ def derive(raw: bytes) -> list[dict]:
     source = get(headers, "WARC-Record-ID")
     if not source:
         raise ValueError("no record id")
-    head, _, body = block.partition(END + END)
+    head, _, stored = block.partition(END + END)
     status, _, head = head.partition(END)
     http = fields(head)
+    unchunked, body = decoded(http, stored)
     charset = re.search(r"charset=[\"']?([\w.-]+)", get(http, "Content-Type") or "", re.I)
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    payload = get(headers, "WARC-Payload-Digest") or digest(body)
+    own_digest = digest(stored)
+    payload = get(headers, "WARC-Payload-Digest") or own_digest
+    intact = payload == own_digest or (unchunked is not stored and payload == digest(unchunked))
     url, date = get(headers, "WARC-Target-URI") or "", get(headers, "WARC-Date") or ""
     text = plain_text(page).encode()
     notes = [("source-record-id", source), ("source-payload-digest", payload)]
@@ -135,7 +224,7 @@ def derive(raw: bytes) -> list[dict]:
         linked += [("WARC-Source-Payload-Digest", payload)]
         rows.append({
             "record_type": kind, "record_id": own, "refers_to": source, "target_uri": url, "warc_date": date,
-            "source_payload_digest": payload, "source_digest_ok": payload == digest(body), "block_digest": digest(data),
+            "source_payload_digest": payload, "source_digest_ok": intact, "block_digest": digest(data),
             "block_bytes": len(data), "record": record(linked, data),
         })
     return rows
@@ -145,52 +234,87 @@ ROW = ("record_type string, record_id string, refers_to string, target_uri strin
        "source_payload_digest string, source_digest_ok boolean, block_digest string, block_bytes long, record binary")
 
 
-def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record", with_record: bool = True) -> DataFrame:
-    """Two rows per response: ``keep`` columns, the linking fields and the serialised ``record``."""
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+_FIELDS = [(c.split()[0], _ARROW[c.split()[1]]) for c in ROW.split(", ")]
+
+
+def _derived(batch: pa.RecordBatch, records: Iterator[bytes | None]) -> pa.RecordBatch:
+    """The batch's ``_row`` column, repeated for each row that its records yield, and the rows' columns."""
+    at, rows = [], []
+    for i, raw in enumerate(records):
+        try:
+            found = derive(raw)
+        except ValueError:
+            continue
+        at += [i] * len(found)
+        rows += found
+    kept = batch.column("_row").take(pa.array(at, pa.int64()))
+    return pa.RecordBatch.from_arrays([kept, *(pa.array([r[n] for r in rows], t) for n, t in _FIELDS)], ["_row", *(n for n, _ in _FIELDS)])
+
+
+def _kept(frame: DataFrame, keep: list[str]):
+    return F.struct(*[F.col(c) for c in keep]).alias("_row")
+
+
+def _map(source: DataFrame, run) -> DataFrame:
+    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, {ROW}")
+
+
+def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record") -> DataFrame:
+    """Two rows per response: its ``keep`` columns as struct ``_row``, the linking fields and the serialised ``record``.
+
+    Records are parsed once, in one Python step; what yields nothing gives no row.
+    """
     prepare(responses.sparkSession)
-    wanted = ROW if with_record else ROW.rpartition(",")[0]
-    names = [c.split()[0] for c in wanted.split(", ")]
 
-    @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':') for c in wanted.split(', '))}>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.tolist():
-                try:
-                    out.append([{n: r[n] for n in names} for r in derive(raw)])
-                except ValueError:
-                    out.append([])
-            yield pd.Series(out, dtype=object)
+            yield _derived(batch, (r.as_py() for r in batch.column("_record")))
+
+    return _map(responses.select(_kept(responses, keep), F.col(record_col).alias("_record")), run)
+
+
+def page_derivatives(pages: DataFrame, keep: list[str], date: str, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
+    """The derivatives of every page's response (as ``responses_of`` builds it), without the response leaving its task."""
+    prepare(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(c) for c in ("_url", "_html", "_key")))
+            yield _derived(batch, (response(u.as_py(), date, h.as_py().encode(), k.as_py()) for u, h, k in columns))
 
-    rows = responses.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), run(F.col(record_col)).alias("_d"))
-    return rows.select("_row", F.explode("_d").alias("_d")).select("_row.*", "_d.*")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return _map(pages.select(_kept(pages, keep), text(url).alias("_url"), text(html).alias("_html"), text(key).alias("_key")), run)
 
 
 def rejected(responses: DataFrame, keep: list[str], record_col: str = "record") -> DataFrame:
-    """``keep`` columns and ``reason`` of the records that yield no derivatives."""
+    """The ``keep`` columns as struct ``_row`` and the ``reason`` of the records that yield no derivatives."""
     prepare(responses.sparkSession)
 
-    @F.pandas_udf("string")
-    def why(batch: pd.Series) -> pd.Series:
-        out = []
-        for raw in batch.tolist():
-            try:
-                derive(raw)
-                out.append(None)
-            except ValueError as e:
-                out.append(str(e))
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, reasons = [], []
+            for i, raw in enumerate(batch.column("_record")):
+                try:
+                    derive(raw.as_py())
+                except ValueError as e:
+                    at.append(i)
+                    reasons.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(reasons, pa.string())], ["_row", "reason"])
 
-    return responses.select(*keep, why(F.col(record_col)).alias("reason")).filter("reason is not null")
+    source = responses.select(_kept(responses, keep), F.col(record_col).alias("_record"))
+    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, reason string")
 
 
 def responses_of(pages: DataFrame, keep: list[str], date: str, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
-    """``keep`` columns of every page with ``record``, its serialised response (null html: an empty body)."""
+    """``keep`` columns of every page as struct ``_row`` with ``record``, its serialised response (null html: an empty body)."""
     prepare(pages.sparkSession)
 
-    @F.pandas_udf("binary")
-    def build(urls: pd.Series, bodies: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([response(u if isinstance(u, str) else "", date, (b if isinstance(b, str) else "").encode(), k)
-                          for u, b, k in zip(urls, bodies, keys)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [response(u.as_py(), date, h.as_py().encode(), k.as_py()) for u, h, k in zip(*(batch.column(c) for c in ("_url", "_html", "_key")))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(made, pa.binary())], ["_row", "record"])
 
-    return pages.select(*[F.col(c) for c in keep], build(F.col(url), F.col(html), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("record"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    source = pages.select(_kept(pages, keep), text(url).alias("_url"), text(html).alias("_html"), text(key).alias("_key"))
+    return source.mapInArrow(run, f"_row {source.schema['_row'].dataType.simpleString()}, record binary")

@@ -1,10 +1,15 @@
 """Main text, WARC derivatives and nearest neighbours."""
 
+import base64
 import gzip
+import hashlib
 import html
 import itertools
 import math
 import re
+import time
+import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -148,9 +153,100 @@ def test_records_that_yield_nothing_are_told(spark):
     bad = [None, b"", b"junk", good.replace(b"WARC-Type: response", b"WARC-Type: request"), good[:40], b"\x1f\x8bxx"]
     frame = spark.createDataFrame([(i, b, "x") for i, b in enumerate([good, good, *bad])], "k int, record binary, record_type string")
     assert warc.derivatives(frame, ["k"]).count() == 4
-    told = {r.k: r.reason for r in warc.rejected(frame, ["k"]).collect()}
+    told = {r["_row"].k: r.reason for r in warc.rejected(frame, ["k"]).collect()}
     assert set(told) == set(range(2, 8)) and all(told.values())
-    assert warc.derivatives(frame.limit(0), ["k"]).count() == 0
+    assert warc.derivatives(frame.limit(0), ["k"]).count() == 0 and warc.rejected(frame.limit(0), ["k"]).count() == 0
+    clash = warc.derivatives(frame, ["k", "record", "record_type"]).filter("record_type = 'conversion'").collect()
+    assert [r["_row"].record_type for r in clash] == ["x", "x"] and all(bytes(r["_row"].record) == good for r in clash)
+
+
+def read_record(raw):
+    """A reader of its own: version line, header lines, an empty line, the block and two line ends."""
+    lines, at = [], 0
+    while True:
+        end = raw.index(b"\r\n", at)
+        line, at = raw[at:end], end + 2
+        if not line:
+            break
+        lines.append(line.decode())
+    headers = dict(x.split(": ", 1) for x in lines[1:])
+    block = raw[at : at + int(headers["Content-Length"])]
+    assert lines[0] == "WARC/1.1" and raw[at + len(block) :] == b"\r\n\r\n" and len(headers) == len(lines) - 1
+    return headers, block
+
+
+class Lines(HTMLParser):
+    """Text of well-formed pages: lines end at the tags that the pages use."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.parts, self.hidden = [], 0
+        self.feed(page)
+        self.close()
+        joined = "\n".join(" ".join(x.split()) for x in "".join(self.parts).split("\0"))
+        self.text = "\n".join(x for x in joined.split("\n") if x)
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title", "noscript")
+        if tag not in ("a", "b", "i", "em", "strong", "span", "script", "style", "noscript", "meta", "link", "img", "input", "button", "label", "code", "small"):
+            self.parts.append("\0")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title", "noscript")
+        self.handle_starttag(tag, [])
+        self.hidden -= tag in ("script", "style", "title", "noscript")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_every_derivative_read_back_by_another_reader(spark, sf_dir, pages):
+    sha = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    rows = {(r.page_id, r.record_type): read_record(bytes(r.record)) for r in op9_warc_derivatives(spark, sf_dir).collect()}
+    assert len(rows) == 2 * len(pages)
+    assert len({h["WARC-Record-ID"] for h, _ in rows.values()}) == len(rows)
+    for p in pages:
+        body = p.html.encode()
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+        (meta, notes), (text, block) = rows[p.page_id, "metadata"], rows[p.page_id, "conversion"]
+        for headers, data in ((meta, notes), (text, block)):
+            assert headers["WARC-Target-URI"] == p.url and headers["WARC-Date"] == WARC_DATE and headers["WARC-Block-Digest"] == sha(data)
+            assert headers["WARC-Source-Payload-Digest"] == sha(body)
+        assert meta["WARC-Refers-To"] == text["WARC-Refers-To"] not in (meta["WARC-Record-ID"], text["WARC-Record-ID"])
+        assert block.decode() == Lines(p.html).text
+        noted = dict(x.split(": ", 1) for x in notes.decode().split("\r\n") if x)
+        assert noted["source-record-id"] == meta["WARC-Refers-To"] and noted["source-block-digest"] == sha(http) and noted["text-bytes"] == str(len(block))
+
+
+def http_response(headers, body):
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", warc.digest(body))],
+                       b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + body)
+
+
+def test_coded_bodies():
+    page, deflate = "<p>caf\u00e9</p>x".encode(), zlib.compressobj(wbits=-15)
+    packed = gzip.compress(page)
+    chunks = b"4;q=1\r\n" + packed[:4] + b"\r\n" + hex(len(packed) - 4)[2:].encode() + b"\r\n" + packed[4:] + b"\r\n0\r\n\r\n"
+    cases = [(b"Content-Encoding: gzip", packed), (b"Content-Encoding: deflate", zlib.compress(page)), (b"X: y", page),
+             (b"content-encoding: deflate", deflate.compress(page) + deflate.flush()), (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks)]
+    for headers, body in cases:
+        meta, text = warc.derive(http_response(headers, body))
+        assert read_record(text["record"])[1].decode() == "caf\u00e9\nx" and meta["source_digest_ok"]
+        assert text["source_payload_digest"] == warc.digest(body)
+    for headers, body in ((b"Content-Encoding: gzip", b"junk"), (b"Content-Encoding: br", page), (b"Transfer-Encoding: chunked", b"zz\r\n")):
+        with pytest.raises(ValueError):
+            warc.derive(http_response(headers, body))
+
+
+def test_plain_text_keeps_all_text_in_linear_time():
+    for page, text in (("a < b and c > d", "a < b and c > d"), ("x<script>1<2", "x"), ("<p title=\"a>b\">q</p>r", "q\nr"), ("<!-->a<!-- b --> c", "a c"),
+                       ("<noscript>n</noscript>y<noscript>z", "yz"), ("<a b = c>z</a >", "z"), ("<td>a<td>b", "a\nb")):
+        assert warc.plain_text(page) == text
+    for part in ("<script>", "<a b='", "<", "<noscript>", "<a ", "&", "<!--", "</", " ", "<div>", "&#", "<a ="):
+        began = time.process_time()
+        warc.plain_text(part * 100_000)
+        assert time.process_time() - began < 5
 
 
 def brute(vectors, query, k):
