@@ -45,8 +45,7 @@ _TO_THE_END = frozenset(_HIDDEN) - {"noscript", "template"}
 _OPENING = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 _PLAIN_PART = re.compile(r"[^>=]*")
 _VALUE = re.compile(r"\s*+(?:[\"']|[^\s>]*+)")
-_BLANKS = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
+_LINE_ENDS = re.compile(r"[\r\n\f]+")
 
 
 def digest(data: bytes) -> str:
@@ -124,10 +123,18 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def plain_text(page: str) -> str:
-    """The text of a page, a line for each block-level element; one pass, in time linear in the page's length."""
-    out, at, endless = [], 0, set()
+    """The text of a page, a line for each block-level element (and each line of a pre element).
+
+    One pass, in time linear in the page's length. White space within a line becomes one space.
+    """
+    out, at, endless, kept_lines = [], 0, set(), 0
+
+    def add(text: str) -> None:
+        text = html_text.unescape(text)
+        out.append(text if kept_lines else _LINE_ENDS.sub(" ", text))
+
     while (found := page.find("<", at)) >= 0:
-        out.append(html_text.unescape(page[at:found]))
+        add(page[at:found])
         tag = _OPENING.match(page, found + 1)
         if tag is None:
             if page.startswith("<!--", found):
@@ -143,6 +150,8 @@ def plain_text(page: str) -> str:
         name = tag[2].lower()
         if name in _BREAKS:
             out.append("\n")
+        if name == "pre":
+            kept_lines = max(0, kept_lines + (-1 if tag[1] else 1))
         if not tag[1] and name in _HIDDEN and name not in endless:
             end = _HIDDEN[name].search(page, at)
             if end:
@@ -151,8 +160,9 @@ def plain_text(page: str) -> str:
                 at = len(page)
             else:
                 endless.add(name)
-    out.append(html_text.unescape(page[at:]))
-    return _LINES.sub("\n", _BLANKS.sub(" ", "".join(out))).strip()
+    add(page[at:])
+    lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
+    return "\n".join(x for x in lines if x)
 
 
 def _unchunked(data: bytes) -> bytes:

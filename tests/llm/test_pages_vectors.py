@@ -183,8 +183,7 @@ class Lines(HTMLParser):
         self.parts, self.hidden = [], 0
         self.feed(page)
         self.close()
-        joined = "\n".join(" ".join(x.split()) for x in "".join(self.parts).split("\0"))
-        self.text = "\n".join(x for x in joined.split("\n") if x)
+        self.text = "\n".join(line for x in "".join(self.parts).split("\0") if (line := " ".join(x.split())))
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in ("script", "style", "title", "noscript")
@@ -241,7 +240,7 @@ def test_coded_bodies():
 
 def test_plain_text_keeps_all_text_in_linear_time():
     for page, text in (("a < b and c > d", "a < b and c > d"), ("x<script>1<2", "x"), ("<p title=\"a>b\">q</p>r", "q\nr"), ("<!-->a<!-- b --> c", "a c"),
-                       ("<noscript>n</noscript>y<noscript>z", "yz"), ("<a b = c>z</a >", "z"), ("<td>a<td>b", "a\nb")):
+                       ("<noscript>n</noscript>y<noscript>z", "yz"), ("<a b = c>z</a >", "z"), ("<td>a<td>b", "a\nb"), ("<p>a\nb<pre>c\nd</pre>e\nf", "a b\nc\nd\ne f")):
         assert warc.plain_text(page) == text
     for part in ("<script>", "<a b='", "<", "<noscript>", "<a ", "&", "<!--", "</", " ", "<div>", "&#", "<a ="):
         began = time.process_time()
