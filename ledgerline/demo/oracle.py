@@ -468,6 +468,24 @@ def _missing(table: str, cols: list[str]) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "empty_rerun": _with() + """
+SELECT d.report_date, CAST(0 AS BIGINT) AS first_rows, CAST(CASE WHEN d.kept THEN s.n ELSE 0 END AS BIGINT) AS rows,
+       CASE WHEN d.kept THEN s.qty END AS qty
+FROM (VALUES ('2026-01-01', false), ('2026-01-02', false), ('2026-01-03', true)) AS d(report_date, kept),
+     (SELECT count(*) AS n, SUM(qty) AS qty FROM (""" + NET_SELLOUT_BODY + """)) s""",
+    "checked_parquet": _with() + "SELECT sku, CAST(CAST(case_size AS INTEGER) AS DOUBLE) AS case_size FROM d_free_goods",
+    "rejected_cells": _with() + """
+SELECT doc_no, sku, 'qty' AS column_name, sku || ' pcs' AS text FROM d_invoice WHERE uom = 'Subcase' AND sku IS NOT NULL
+UNION ALL
+SELECT doc_no, sku, 'txn_date', 'day ' || doc_no FROM d_invoice WHERE uom = 'Piece' AND doc_no IS NOT NULL""",
+    "report_rollup": "SELECT CAST(bit_count(GROUPING_ID(branch, rep_id)) AS INTEGER) AS level, branch, rep_id, CAST(count(*) AS BIGINT) AS rows, "
+                     "CAST(SUM(net_value_d) AS DOUBLE) AS net_value, CAST(SUM(good_d) AS DOUBLE) AS good_returns, "
+                     "CAST(SUM(bad_d) AS DOUBLE) AS bad_returns FROM ("
+                     + NET_INVOICED.replace(
+                         "CAST(e.served - e.bad_returns - e.good_returns AS DOUBLE) AS net_value,",
+                         "e.served - e.bad_returns - e.good_returns AS net_value_d, e.good_returns AS good_d, "
+                         "e.bad_returns AS bad_d, CAST(e.served - e.bad_returns - e.good_returns AS DOUBLE) "
+                         "AS net_value,") + ") GROUP BY ROLLUP (branch, rep_id)",
     "csv_read_by_name": _with() + """
 SELECT sku, sku_name, uom, CAST(price AS DOUBLE) AS price, price_class, channel FROM d_price""",
     "optional_source": _with() + """

@@ -36,7 +36,7 @@ from ledgerline.plans.quality import loss_metrics, price_fanout
 from ledgerline.plans.volume import with_volume
 from ledgerline.schemas import schema
 from ledgerline.session import scratch_dir
-from ledgerline.sources import ingest_workbooks, read_report, read_table, required_values, write_report, write_workbooks
+from ledgerline.sources import ingest_checked, ingest_workbooks, read_report, read_table, required_values, write_report, write_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,47 @@ def partition_roundtrip_q(spark, sf_dir):
     return finish(df.drop("report_date"))
 
 
+def empty_rerun_q(spark, sf_dir):
+    """Rows left after a date is rerun without rows, beside a date that keeps its rows and one that never had any."""
+    report = R.net_sellout(_t(spark, sf_dir), DEMO_PARAMS)
+    path = f"{scratch_dir(spark)}/reports/rerun-{uuid.uuid4().hex}"
+    write_report(report.filter(F.lit(False)), path, "2026-01-01", sort_by=R.REPORT_ORDER["net_sellout"])
+    first_day = read_report(spark, path).count()
+    write_report(report, path, "2026-01-02")
+    write_report(report, path, "2026-01-03")
+    write_report(report.filter("qty is null and qty is not null"), path, "2026-01-02")
+    kept = read_report(spark, path).groupBy(F.col("report_date").cast("string").alias("report_date")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("qty").alias("qty"))
+    days = spark.createDataFrame([("2026-01-01", first_day), ("2026-01-02", 0), ("2026-01-03", 0)], "report_date string, first_rows bigint")
+    return finish(days.join(kept, "report_date", "left").select("report_date", "first_rows", F.coalesce("rows", F.lit(0)).alias("rows"), "qty"))
+
+
+def checked_parquet_q(spark, sf_dir):
+    """An extract landed with more columns, in another order and in narrower types, read by its schema."""
+    t = _t(spark, sf_dir)
+    path = _folder(spark, "free-goods")
+    landed = t.free_goods.select(F.lit("x").alias("extra"), F.col("case_size").cast("int").alias("case_size"), F.col("sku").alias("sku"), F.lit(1).alias("more"))
+    landed.write.parquet(path)
+    return finish(read_table(spark, path, schema("free_goods")))
+
+
+def rejected_cells_q(spark, sf_dir):
+    """Cells of an invoice workbook that are neither numbers nor dates."""
+    inv = _t(spark, sf_dir).invoice
+    qty = F.when(F.col("uom") == "Subcase", F.concat("sku", F.lit(" pcs"))).otherwise(F.col("qty").cast("string"))
+    day = F.when(F.col("uom") == "Piece", F.concat(F.lit("day "), "doc_no")).otherwise(F.col("txn_date").cast("string"))
+    path = _folder(spark, "invoice-cells")
+    write_workbooks(inv.select("doc_no", "sku", day.alias("txn_date"), qty.alias("qty")), path)
+    read = T.StructType([f for f in schema("invoice") if f.name in ("doc_no", "sku", "txn_date", "qty")])
+    rows, cells = ingest_checked(spark, path, read, keep=["doc_no", "sku"])
+    return cells.select("doc_no", "sku", "column_name", "text")
+
+
+def report_rollup_q(spark, sf_dir):
+    r = R.net_invoiced(_t(spark, sf_dir), DEMO_PARAMS)
+    return finish(O.rollup_totals(r, ["branch", "rep_id"], ["net_value", "good_returns", "bad_returns"]))
+
+
 def workbook_ingest_q(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = f"{scratch_dir(spark)}/workbooks/customer-{uuid.uuid4().hex}"
@@ -369,6 +410,10 @@ def daily_totals_q(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "empty_rerun": empty_rerun_q,
+    "checked_parquet": checked_parquet_q,
+    "rejected_cells": rejected_cells_q,
+    "report_rollup": report_rollup_q,
     "csv_read_by_name": csv_read_by_name_q,
     "optional_source": optional_source_q,
     "header_offset_ingest": header_offset_ingest_q,

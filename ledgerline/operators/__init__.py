@@ -1,6 +1,6 @@
 """DataFrame -> DataFrame operators: filters, joins, aggregation, first-per-key, set ops, quality."""
 
-from ledgerline.operators.aggregate import missing_counts, non_null_counts, pivot_sum, row_counts, text_widths, totals
+from ledgerline.operators.aggregate import missing_counts, non_null_counts, pivot_sum, rollup_totals, row_counts, text_widths, totals
 from ledgerline.operators.filters import drop_incomplete, exclude_value, keep_token, keep_value, rename_columns
 from ledgerline.operators.joins import (
     attach_calendar,
@@ -11,7 +11,7 @@ from ledgerline.operators.joins import (
     lookup,
     only_deducted,
 )
-from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, key_fanouts, uncategorized
+from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, key_fanouts, rejected_cells, uncategorized
 from ledgerline.operators.setops import union_all, upsert
 from ledgerline.operators.window import first_per_key
 
@@ -36,6 +36,8 @@ __all__ = [
     "only_deducted",
     "pivot_sum",
     "rename_columns",
+    "rejected_cells",
+    "rollup_totals",
     "row_counts",
     "text_widths",
     "totals",

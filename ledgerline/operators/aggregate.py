@@ -45,6 +45,17 @@ def totals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.sum(c).alias(c) for c in cols])
 
 
+def rollup_totals(df: DataFrame, levels: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Total rows by level: the sums of ``cols`` for every group of ``levels``, of each shorter list of them, and of all rows.
+
+    ``level`` counts the levels that a row sums over (0: a group of all ``levels``), which
+    tells a total row from a group whose value is missing. One aggregate over grouping sets.
+    """
+    over = F.bit_count(F.grouping_id()).cast("int").alias("level")
+    return df.rollup(*levels).agg(over, F.count(F.lit(1)).cast("bigint").alias("rows"), *[F.sum(c).alias(c) for c in cols]).select(
+        "level", *levels, "rows", *cols)
+
+
 def non_null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row: count of present values per column."""
     cols = list(cols or df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import is_blank
@@ -54,6 +54,16 @@ def key_fanouts(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return names.join(surplus, "metric", "left").select("metric", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
 
 
+def rejected_cells(texts: DataFrame, typed: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
+    """One row ``(*keep, column_name, text)`` per cell that has a text and no value once it is ``typed``.
+
+    ``typed`` maps a text column to the expression that reads it. All columns are
+    checked in one pass over the rows; a row without rejected cells gives nothing.
+    """
+    cells = [F.when(F.col(n).isNotNull() & c.isNull(), F.struct(F.lit(n).alias("column_name"), F.col(n).alias("text"))) for n, c in typed.items()]
+    return texts.select(*keep, F.inline(F.array_compact(F.array(*cells))))
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> None:
     """Raise when a reference repeats a key (a join on it would fan facts out).
 

@@ -53,7 +53,6 @@ class Params:
     vat_multiplier: Decimal = VAT_MULTIPLIER
     case_uoms: tuple[str, ...] = CASE_UOMS
     price_uoms: tuple[str, ...] = PRICE_UOMS
-    facilities: tuple[str, ...] = FACILITIES
     van_channel: str = VAN_CHANNEL
     booking_channel: str = BOOKING_CHANNEL
     # Largest price reference that is broadcast to the fact joins (rows; Parquet bytes).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,32 +40,32 @@ def clean_invoices(invoice: DataFrame, deductions: DataFrame) -> DataFrame:
     )
 
 
-def clean_returns(returns: DataFrame, deductions: DataFrame) -> DataFrame:
+def clean_returns(returns: DataFrame, deductions: DataFrame, vat: Decimal = P.VAT_MULTIPLIER) -> DataFrame:
     """Return lines without deducted pairs, with VAT amount and BO/FG facility class."""
     ret = returns.withColumn("amount", F.coalesce(F.col("amount"), zero()))
     ret = deduct(ret, deductions, "return_key")
     return ret.select(
         *[c for c in ret.columns if c not in ("facility",)],
         facility_code("facility").alias("facility_class"),
-        with_vat("amount").alias("amount_vat"),
+        with_vat("amount", vat).alias("amount_vat"),
     )
 
 
-def returns_pivot(returns: DataFrame, deductions: DataFrame, keys=None) -> DataFrame:
+def returns_pivot(returns: DataFrame, deductions: DataFrame, keys=None, vat: Decimal = P.VAT_MULTIPLIER) -> DataFrame:
     """Returns summed per line key into bad (BO) and good (FG) columns of VAT amount.
 
     Rows with a missing key or an unrecognised facility drop out; returns equal in
     every key (quantity included) collapse into one row.
     """
     keys = list(keys or RETURN_PIVOT_KEYS)
-    ret = clean_returns(returns, deductions)
+    ret = clean_returns(returns, deductions, vat)
     return pivot_sum(
         ret, keys, "facility_class", list(P.FACILITIES), "amount_vat",
         names={"BO": "bad_returns", "FG": "good_returns"},
     )
 
 
-def invoiced_orders(sales_order: DataFrame, invoice: DataFrame, deductions: DataFrame) -> DataFrame:
+def invoiced_orders(sales_order: DataFrame, invoice: DataFrame, deductions: DataFrame, vat: Decimal = P.VAT_MULTIPLIER) -> DataFrame:
     """Invoiced sales-order lines minus those whose invoice line is deducted, with VAT value."""
     so = keep_value(sales_order, "status", P.INVOICED_STATUS)
     inv = exclude_value(invoice, "item_type", P.TAX_ITEM_TYPE)
@@ -75,7 +77,7 @@ def invoiced_orders(sales_order: DataFrame, invoice: DataFrame, deductions: Data
         "sku_name",
         "uom",
         "qty",
-        with_vat(F.coalesce(F.col("amount"), zero())).alias("value"),
+        with_vat(F.coalesce(F.col("amount"), zero()), vat).alias("value"),
     )
 
 

@@ -14,65 +14,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import params as P
-from ledgerline.functions import parse_created_date
-from ledgerline.operators import key_fanouts, union_all
+from ledgerline.functions import doc_key, parse_created_date
+from ledgerline.operators import exclude_value, keep_value, key_fanouts, union_all
 from ledgerline.params import Params
-from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_invoices, clean_returns, invoiced_orders, price_reference
+from ledgerline.plans.facts import RETURN_PIVOT_KEYS, clean_returns, price_reference
 from ledgerline.plans.reports import price_lists
 
 
-def _count(df: DataFrame, metric: str, cond=None) -> DataFrame:
-    agg = F.count_if(cond) if cond is not None else F.count(F.lit(1))
-    return df.agg(agg.cast("bigint").alias("rows")).select(F.lit(metric).alias("metric"), "rows")
+# Reference name -> the key that a lookup joins on.
+LOOKUP_KEYS = {
+    "customer": "customer_id", "category": "sku", "supervisor": "rep_id", "free_goods": "sku", "calendar": "txn_date",
+    "gt_channel": "customer_class", "classification": "customer_class", "route": "customer_id", "new_customer": "customer_id",
+}
 
 
-def _not_in_calendar_tagged(facts: Mapping[str, DataFrame], calendar: DataFrame) -> DataFrame:
-    """Rows ``(metric, rows)``: fact rows per tag whose date is not in the calendar, in one aggregate."""
-    tagged = union_all([df.select(F.lit(name).alias("metric"), "txn_date") for name, df in facts.items()])
-    missing = tagged.join(calendar.select("txn_date"), "txn_date", "left_anti").groupBy("metric").agg(
-        F.count(F.lit(1)).cast("bigint").alias("rows"))
-    spark = calendar.sparkSession
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in facts])).alias("metric"))
-    return names.join(missing, "metric", "left").select("metric", F.coalesce("rows", F.lit(0)).cast("bigint")
-                                                        .alias("rows"))
+def _marked(df: DataFrame, hits: DataFrame, key: str, mark: str) -> DataFrame:
+    """``df`` with the boolean ``mark``: whether ``key`` is among the distinct keys ``hits`` (a missing key never is)."""
+    hits = hits.filter(F.col(key).isNotNull()).distinct().withColumn(mark, F.lit(True))
+    return df.join(hits, key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
-def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows ``(metric, rows)``."""
-    ret = clean_returns(refs["returns"], refs["deductions"])
-    key_missing = F.lit(False)
+def _rows(wide: DataFrame) -> DataFrame:
+    names = wide.columns
+    return wide.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names]).unpivot([], names, "metric", "rows")
+
+
+def line_losses(refs: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows ``(metric, rows)``: invoice and order lines on days that the calendar lacks, one scan of each extract.
+
+    Every line is marked (deducted, day known) and tagged with its first reason to be
+    lost. Only tagged lines are shuffled, by their order and SKU, where deducted invoice
+    lines take their orders' lines along before those are counted.
+    """
+    days = refs["calendar"].select(F.to_date("txn_date").alias("day"))
+    deducted = refs["deductions"].select(F.col("invoice_key").alias("key"))
+    order_key = doc_key("order_no", "sku").alias("order_key")
+    inv = exclude_value(refs["invoice"], "item_type", P.TAX_ITEM_TYPE)
+    inv = inv.select(F.to_date("txn_date").alias("day"), doc_key("doc_no", "sku").alias("key"), order_key)
+    inv = _marked(_marked(inv, deducted, "key", "deducted"), days, "day", "known")
+    inv = inv.select("order_key", F.when(F.col("deducted"), "deducted").when(~F.col("known"), "invoice").alias("reason"))
+    so = keep_value(refs["sales_order"], "status", P.INVOICED_STATUS).select(F.to_date("txn_date").alias("day"), order_key)
+    so = _marked(so, days, "day", "known").select("order_key", F.when(~F.col("known"), "order").alias("reason"))
+    per_key = union_all([inv, so]).filter(F.col("reason").isNotNull()).groupBy("order_key").agg(
+        *[F.count_if(F.col("reason") == r).alias(r) for r in ("deducted", "invoice", "order")])
+    stays = F.col("order_key").isNull() | (F.col("deducted") == 0)
+    return _rows(per_key.agg(F.sum("invoice").alias("invoices_not_in_calendar"),
+                             F.sum(F.when(stays, F.col("order"))).alias("orders_not_in_calendar")))
+
+
+def return_losses(refs: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows ``(metric, rows)``: return lines without a pivot key or facility class, pivot rows on unknown days; one scan."""
+    days = refs["calendar"].select(F.to_date("txn_date").alias("day"))
+    ret = clean_returns(refs["returns"], refs["deductions"]).withColumn("day", F.to_date("txn_date"))
+    ret = _marked(ret, days, "day", "known")
+    lacks_key = F.lit(False)
     for k in RETURN_PIVOT_KEYS:
-        key_missing = key_missing | F.col(k).isNull()
-    cal = refs["calendar"]
-    returns_lost = ret.agg(
-        F.count_if(key_missing).cast("bigint").alias("returns_missing_pivot_key"),
-        F.count_if(~key_missing & F.col("facility_class").isNull()).cast("bigint").alias("returns_unknown_facility"),
-    ).unpivot([], ["returns_missing_pivot_key", "returns_unknown_facility"], "metric", "rows")
-    parts = [
-        returns_lost,
-        _not_in_calendar_tagged({
-            "invoices_not_in_calendar": clean_invoices(refs["invoice"], refs["deductions"]),
-            "orders_not_in_calendar": invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"]),
-        }, cal),
-        # A pivot row's date is one of its keys: count the distinct keys of the
-        # surviving return lines whose date is missing, without building the pivot.
-        _count(ret.filter(~key_missing & F.col("facility_class").isin(list(P.FACILITIES)))
-               .join(cal.select("txn_date"), "txn_date", "left_anti")
-               .select(*RETURN_PIVOT_KEYS).distinct(), "returns_not_in_calendar"),
-        _count(refs["customer"], "created_date_rejects", parse_created_date("created").isNull()),
-        key_fanouts({
-            "customer_key_fanout": (refs["customer"], "customer_id"),
-            "category_key_fanout": (refs["category"], "sku"),
-            "supervisor_key_fanout": (refs["supervisor"], "rep_id"),
-            "free_goods_key_fanout": (refs["free_goods"], "sku"),
-            "calendar_key_fanout": (refs["calendar"], "txn_date"),
-            "gt_channel_key_fanout": (refs["gt_channel"], "customer_class"),
-            "classification_key_fanout": (refs["classification"], "customer_class"),
-            "route_key_fanout": (refs["route"], "customer_id"),
-            "new_customer_key_fanout": (refs["new_customer"], "customer_id"),
-        }),
-    ]
-    return union_all(parts)
+        lacks_key = lacks_key | F.col(k).isNull()
+    pivoted = ~lacks_key & F.col("facility_class").isin(list(P.FACILITIES))
+    # A pivot row's date is one of its keys, so the lost rows are the distinct keys on unknown days.
+    return _rows(ret.agg(
+        F.count_if(lacks_key).alias("returns_missing_pivot_key"),
+        F.count_if(~lacks_key & F.col("facility_class").isNull()).alias("returns_unknown_facility"),
+        F.count_distinct(F.when(pivoted & ~F.col("known"), F.struct(*RETURN_PIVOT_KEYS))).alias("returns_not_in_calendar"),
+    ))
+
+
+def reference_losses(refs: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows ``(metric, rows)``: surplus rows per lookup key and unparsable created dates; one scan of each reference."""
+    tagged = []
+    for name, key in LOOKUP_KEYS.items():
+        df = refs[name]
+        value = F.to_date(key) if name == "calendar" else F.col(key)
+        bad = parse_created_date("created").isNull() if name == "customer" else F.lit(False)
+        tagged.append(df.select(F.lit(f"{name}_key_fanout").alias("metric"), value.cast("string").alias("k"), bad.cast("int").alias("bad")))
+    per_key = union_all(tagged).groupBy("metric", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    surplus = F.when(F.col("k").isNotNull(), F.col("n") - 1)
+    of = [F.sum(F.when(F.col("metric") == f"{name}_key_fanout", surplus)).alias(f"{name}_key_fanout") for name in LOOKUP_KEYS]
+    return _rows(per_key.agg(F.sum("bad").alias("created_date_rejects"), *of))
+
+
+def loss_metrics(refs: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows ``(metric, rows)``: what the reports lose and what references multiply, every fact extract scanned once."""
+    return union_all([line_losses(refs), return_losses(refs), reference_losses(refs)])
 
 
 def price_fanout(refs: Mapping[str, DataFrame], params: Params) -> DataFrame:

@@ -76,7 +76,7 @@ def price_lists(price: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]
     Excluded price classes are removed (missing class kept). Several remaining
     classes of one SKU add up, as the source pivot does.
     """
-    p = price.withColumn("price_vat", with_vat("price"))
+    p = price.withColumn("price_vat", with_vat("price", params.vat_multiplier))
     p = exclude_value(p, "price_class", P.EXCLUDED_PRICE_CLASS)
     names = dict(zip(params.price_uoms, ["case_price", "subcase_price", "piece_price"]))
 
@@ -130,7 +130,7 @@ def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFram
     returns are enriched together in one pass.
     """
     prices = _prices(refs, params, prices)
-    ret = returns_pivot(refs["returns"], refs["deductions"]).withColumn("served", zero())
+    ret = returns_pivot(refs["returns"], refs["deductions"], vat=params.vat_multiplier).withColumn("served", zero())
     if invoices is None:
         f = enrich(union_all([clean_invoices(refs["invoice"], refs["deductions"]), ret]), refs, prices)
     else:
@@ -154,7 +154,7 @@ def _order_report(enriched: DataFrame, value: str, params: Params) -> DataFrame:
 
 def sales_order_report(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None) -> DataFrame:
     """Invoiced sales orders minus carried deductions, VAT value and volume."""
-    so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"])
+    so = invoiced_orders(refs["sales_order"], refs["invoice"], refs["deductions"], params.vat_multiplier)
     return _order_report(enrich(so, refs, _prices(refs, params, prices)), "value", params)
 
 

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,6 +82,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(target, True)
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` in the place of ``path``; what stood there goes only once the new one is in place."""
+    source, filesystem = hadoop_path(spark, new)
+    target, _ = hadoop_path(spark, path)
+    old, _ = hadoop_path(spark, f"{path.rsplit('/', 1)[0]}/_replaced-{uuid.uuid4().hex}")
+    held = filesystem.exists(target)
+    if held and not filesystem.rename(target, old):
+        raise OSError(f"could not move {path} aside")
+    if not filesystem.rename(source, target):
+        if held:
+            filesystem.rename(old, target)
+        raise OSError(f"could not move {new} to {path}")
+    if held:
+        filesystem.delete(old, True)
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
