@@ -2,8 +2,15 @@
 
 Every document gets base rules over its words and lines. Failures are counted by
 host; a host's failure rate is shrunk towards the corpus rate with a beta prior
-fitted to the hosts (method of moments), and hosts above the limit are rejected
-together with all their documents.
+fitted to the hosts, and hosts above the limit are rejected together with all their
+documents.
+
+The prior comes from beta-binomial moments. Host rates weighted by documents spread
+about the corpus rate m even if all hosts are alike, by m (1 - m) (hosts - 1) in the
+sum of squares; only what is left beyond that sampling spread tells of differences
+between hosts. Its share is the correlation r of two documents of one host, and the
+prior counts as many documents as 1 / r - 1. Where nothing is left (or no host has
+two documents) the hosts tell no prior and ``default_strength`` is used.
 
 Null and blank texts have no words and fail the base rules. A null host is a host
 of its own. Repeated rows count each. An empty table gives no rows.
@@ -28,8 +35,9 @@ class HostRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_host_rate: float = 0.5
-    # Pseudo-documents of the prior where the hosts do not tell one (a single host, no spread).
+    # Documents that the prior counts for where the hosts do not tell, and its bounds where they do.
     default_strength: float = 20.0
+    min_strength: float = 1.0
     max_strength: float = 1e6
 
 
@@ -79,24 +87,34 @@ def base_failed(rules: HostRules) -> Column:
     return few | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
+def prior_strength(hosts: int, documents: float, failures: float, squares: float, weighted: float, rules: HostRules) -> float:
+    """Documents that the prior counts for, from sums over the hosts: of n, k, n squared, and k squared / n."""
+    if hosts < 2 or not 0 < failures < documents:
+        return rules.default_strength
+    m = failures / documents
+    spread = (weighted - documents * m * m) / (m * (1 - m))  # sum of n (k / n - m)^2, in units of m (1 - m)
+    pairs = documents - squares / documents - (hosts - 1)  # what full correlation would add to the sampling spread
+    r = (spread - (hosts - 1)) / pairs if pairs > 1e-9 else 0.0
+    if r <= 1e-9:
+        return rules.default_strength
+    return min(max(1 / r - 1, rules.min_strength), rules.max_strength)
+
+
 def host_verdicts(flagged: DataFrame, host: str, rules: HostRules) -> DataFrame:
     """``host``, n, failures, shrunk_rate and rejected, one row per host."""
     hosts = stage(flagged.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures")), "hosts")
-    rate = F.col("failures") / F.col("n")
-    mean = F.sum("failures") / F.sum("n")
-    fit = hosts.agg(mean.alias("m"), F.sum(F.col("n") * rate * rate).alias("s"), F.sum("n").alias("n"), F.count("*").alias("hosts")).first()
-    strength, m = rules.default_strength, float(fit["m"] or 0.0)
-    if fit["hosts"] > 1:
-        spread = fit["s"] / fit["n"] - m * m
-        if spread > 1e-12 and 0 < m < 1:
-            strength = min(max(m * (1 - m) / spread - 1, 1.0), rules.max_strength)
-    shrunk = (F.col("failures") + m * strength) / (F.col("n") + strength)
+    n, k = F.col("n").cast("double"), F.col("failures").cast("double")
+    fit = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("failures").alias("k"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk")).first()
+    m = fit["k"] / fit["n"] if fit["n"] else 0.0
+    strength = prior_strength(fit["hosts"], fit["n"] or 0, fit["k"] or 0, fit["nn"] or 0.0, fit["kk"] or 0.0, rules)
+    shrunk = (k + m * strength) / (n + strength)
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", shrunk > rules.max_host_rate)
 
 
 def host_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text",
                rules: HostRules = HostRules()) -> DataFrame:
-    """``keep`` columns of every row with the base counts, ``base_failed``, ``host_rate`` and ``kept``.
+    """``keep`` columns of every row with the base counts, ``base_failed``, ``kept``, and the host's
+    ``host_n``, ``host_failures`` and shrunk ``host_rate``.
 
     The counts are staged once; host statistics and the join read the staged rows.
     The host table's size is measured when it is written, so the planner broadcasts
@@ -108,6 +126,7 @@ def host_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str
                        *[c.alias(n) for n, c in counts.items()])
     flagged = stage(rows.withColumn("base_failed", base_failed(rules)), "rules")
     verdicts = host_verdicts(flagged, "_host", rules)
-    verdicts = verdicts.select(F.col("_host").alias("_vhost"), F.col("shrunk_rate").alias("host_rate"), "rejected")
+    verdicts = verdicts.select(F.col("_host").alias("_vhost"), F.col("n").alias("host_n"), F.col("failures").alias("host_failures"),
+                               F.col("shrunk_rate").alias("host_rate"), "rejected")
     joined = flagged.join(verdicts, F.col("_host").eqNullSafe(F.col("_vhost")), "left")
-    return joined.select("_row", *counts, "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
+    return joined.select("_row", *counts, "base_failed", "host_n", "host_failures", "host_rate", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))

@@ -36,16 +36,24 @@ counts AS (
   FROM split s LEFT JOIN repeats r ON r.row_id = s.row_id
 ),
 flagged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
-hosts AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS k FROM flagged GROUP BY source),
-moments AS (SELECT sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS s, count(*) AS hosts FROM hosts),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) / count(*) AS p
+  FROM flagged GROUP BY source
+),
+corpus AS (SELECT CAST(sum(k) AS DOUBLE) / sum(n) AS m, CAST(sum(n) AS DOUBLE) AS total, count(*) AS hosts FROM hosts),
+-- Spread between hosts: its expectation is m (1 - m) times the sum of (1 - n / total) (1 + (n - 1) r), solved for r.
+spread AS (
+  SELECT m, hosts, sum(n * (p - m) * (p - m)) AS seen, m * (1 - m) * sum(1 - n / total) AS alike, m * (1 - m) * sum((1 - n / total) * (n - 1)) AS per_r
+  FROM hosts, corpus GROUP BY m, hosts
+),
 prior AS (
-  SELECT m, CASE WHEN hosts > 1 AND s - m * m > 1e-12 AND m > 0 AND m < 1
-                 THEN least(greatest(m * (1 - m) / (s - m * m) - 1, 1.0), 1e6) ELSE 20.0 END AS strength
-  FROM moments
+  SELECT m, CASE WHEN hosts > 1 AND m > 0 AND m < 1 AND per_r > 1e-9 * m * (1 - m) AND (seen - alike) / per_r > 1e-9
+                 THEN least(greatest(per_r / (seen - alike) - 1, 1.0), 1e6) ELSE 20.0 END AS strength
+  FROM spread
 ),
-verdicts AS (SELECT source, (k + m * strength) / (n + strength) > 0.5 AS rejected FROM hosts, prior)
+verdicts AS (SELECT source, n, k, (k + m * strength) / (n + strength) AS rate FROM hosts, prior)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
-       NOT f.base_failed AND NOT v.rejected AS kept
+       NOT f.base_failed AND v.rate <= 0.5 AS kept, v.n AS host_n, CAST(v.k AS BIGINT) AS host_failures, round(v.rate, 9) AS host_rate
 FROM flagged f JOIN verdicts v ON v.source IS NOT DISTINCT FROM f.source
 """
 

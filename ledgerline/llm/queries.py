@@ -37,7 +37,8 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.host_rules(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "host_n", "host_failures", F.round("host_rate", 9).alias("host_rate"))
 
 
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,34 @@ def test_a_bad_host_takes_its_documents_along_and_a_small_one_is_shrunk(spark):
     assert kept == {"good": True, "bad": False, "tiny": True}
 
 
+def spread_of_hosts(rng, hosts, size, a, b):
+    rates = rng.beta(a, b, hosts) if a else np.full(hosts, b)
+    n = np.maximum(1, rng.poisson(size, hosts))
+    return n, rng.binomial(n, rates)
+
+
+def strength_of(n, k, rules=host_rules.HostRules()):
+    n, k = n.astype(float), k.astype(float)
+    return host_rules.prior_strength(len(n), n.sum(), k.sum(), (n * n).sum(), (k * k / n).sum(), rules)
+
+
+def test_the_prior_finds_the_strength_that_the_hosts_were_drawn_with():
+    rng = np.random.default_rng(7)
+    for a, b in ((2.0, 8.0), (6.0, 24.0), (20.0, 80.0)):
+        found = [strength_of(*spread_of_hosts(rng, 3000, size, a, b)) for size in (5, 40)]
+        assert all(0.7 * (a + b) < s < 1.4 * (a + b) for s in found)
+
+
+def test_hosts_that_only_differ_by_chance_tell_no_prior():
+    rng, default = np.random.default_rng(3), host_rules.HostRules().default_strength
+    n, k = spread_of_hosts(rng, 2000, 0, 0, 0.2)  # one document each
+    assert (n == 1).all() and strength_of(n, k) == default
+    alike = strength_of(*spread_of_hosts(rng, 2000, 30, 0, 0.2))
+    assert alike == default or alike > 500
+    assert strength_of(np.array([10]), np.array([3])) == default and strength_of(np.array([5, 5]), np.array([0, 0])) == default
+    assert strength_of(np.array([50, 50]), np.array([50, 0])) == 1.0
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(list(product(range(1 << bits), repeat=dims)))
