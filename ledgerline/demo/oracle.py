@@ -587,6 +587,17 @@ FROM d_category c FULL OUTER JOIN (
   SELECT sku, sku_name FROM (
     SELECT sku, sku_name, row_number() OVER (PARTITION BY sku ORDER BY sku_name ASC NULLS FIRST) AS rn
     FROM uncategorized) WHERE rn = 1) u ON u.sku = c.sku""",
+    "category_versions": _with(CATALOGUE) + """
+SELECT COALESCE(c.sku, u.sku) AS sku,
+       CASE WHEN c.sku LIKE '%3' THEN 'THREE' WHEN u.sku IS NOT NULL THEN 'UNASSIGNED' ELSE c.category END AS category,
+       CASE WHEN c.sku LIKE '%3' THEN c.sku_name WHEN u.sku IS NOT NULL THEN u.sku_name ELSE c.sku_name END AS sku_name
+FROM d_category c FULL OUTER JOIN (
+  SELECT sku, sku_name FROM (
+    SELECT sku, sku_name, row_number() OVER (PARTITION BY sku ORDER BY sku_name ASC NULLS FIRST) AS rn
+    FROM uncategorized) WHERE rn = 1) u ON u.sku = c.sku""",
+    "deduct_sieved": _with() + """
+SELECT i.doc_no, i.sku, CAST(i.qty AS DOUBLE) AS qty FROM d_invoice i
+WHERE NOT EXISTS (SELECT 1 FROM d_deductions d WHERE d.invoice_key = i.doc_no || '_' || i.sku)""",
     "facility_extract": _with() + r"""
 SELECT doc_no, sku, facility,
        NULLIF(regexp_extract(replace(facility, 'Virtual', 'FG'), '\b(FG|BO)\b', 1), '') AS facility_class

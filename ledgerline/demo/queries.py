@@ -31,6 +31,7 @@ from ledgerline.functions import (
 from ledgerline.plans import customers as C
 from ledgerline.plans import facts as FX
 from ledgerline.plans import reports as R
+from ledgerline.plans.categories import commit_categories, committed_categories
 from ledgerline.plans.daily import TOTALLED, report_totals
 from ledgerline.plans.quality import loss_metrics, price_fanout
 from ledgerline.plans.volume import with_volume
@@ -261,6 +262,11 @@ def deduct_invoices_q(spark, sf_dir):
     return finish(O.deduct(t.invoice, t.deductions, "invoice_key").select("doc_no", "sku", "qty"))
 
 
+def deduct_sieved_q(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return finish(O.deduct_sieved(t.invoice, t.deductions, "invoice_key").select("doc_no", "sku", "qty"))
+
+
 def deducted_only_q(spark, sf_dir):
     t = _t(spark, sf_dir)
     return finish(O.only_deducted(t.invoice, t.deductions, "invoice_key").select("doc_no", "sku", "qty"))
@@ -347,6 +353,22 @@ def category_upsert_q(spark, sf_dir):
     return O.upsert(t.category, updates, "sku", ["category", "sku_name"])
 
 
+def category_versions_q(spark, sf_dir):
+    """Two publishers start from one version; the second to commit builds on the first."""
+    t = _t(spark, sf_dir)
+    path = _folder(spark, "categories")
+    commit_categories(spark, path, t.category)
+    renamed = t.category.filter(F.col("sku").endswith("3")).withColumn("category", F.lit("THREE"))
+    new = O.uncategorized(R.product_catalogue(t), t.category).withColumn("category", F.lit("UNASSIGNED"))
+
+    def other(version: int) -> None:
+        if version == 2:
+            commit_categories(spark, path, new)
+
+    commit_categories(spark, path, renamed, before_commit=other)
+    return committed_categories(spark, path)
+
+
 # --- reports ---------------------------------------------------------------
 
 def volume_rule_q(spark, sf_dir):
@@ -414,6 +436,8 @@ QUERIES: dict[str, Query] = {
     "checked_parquet": checked_parquet_q,
     "rejected_cells": rejected_cells_q,
     "report_rollup": report_rollup_q,
+    "deduct_sieved": deduct_sieved_q,
+    "category_versions": category_versions_q,
     "csv_read_by_name": csv_read_by_name_q,
     "optional_source": optional_source_q,
     "header_offset_ingest": header_offset_ingest_q,

@@ -8,6 +8,7 @@ from ledgerline.operators.joins import (
     combine_prices,
     deduct,
     deduct_orders,
+    deduct_sieved,
     lookup,
     only_deducted,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "combine_prices",
     "deduct",
     "deduct_orders",
+    "deduct_sieved",
     "drop_incomplete",
     "exclude_value",
     "existing_categories",

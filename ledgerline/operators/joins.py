@@ -111,6 +111,47 @@ def deduct(df: DataFrame, keys: DataFrame, key_col: str, doc: str = "doc_no", sk
     return _keyed(df, doc, sku).join(_key_list(keys, key_col), "__ded_key", "left_anti").drop("__ded_key")
 
 
+def key_sieve(keys: DataFrame, bits_per_key: int = 16, max_bytes: int = 64 << 20) -> tuple[DataFrame, int] | None:
+    """Bitmaps of the hashed distinct ``__ded_key`` values and their number of bits; None if they would outgrow ``max_bytes``.
+
+    The keys are counted first. Of the bitmaps' rows (4 KB for 32,768 bits) only those
+    with a bit set exist, so their size is bounded by the smaller of the bits and 4 KB a key.
+    """
+    count = keys.agg(F.count_distinct("__ded_key")).first()[0]
+    bits = max(1 << 15, 1 << (bits_per_key * count - 1).bit_length()) if count else 1 << 15
+    if bits // 8 > max_bytes:
+        return None
+    place = F.pmod(F.xxhash64("__ded_key"), F.lit(bits)) + 1
+    marks = keys.select(F.bitmap_bucket_number(place).alias("__part"), F.bitmap_bit_position(place).alias("__bit"))
+    return marks.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits")), bits
+
+
+def deduct_sieved(df: DataFrame, keys: DataFrame, key_col: str, doc: str = "doc_no", sku: str = "sku",
+                  max_bytes: int = 64 << 20) -> DataFrame:
+    """:func:`deduct` for lists that are too long to broadcast: only rows that may be listed are shuffled.
+
+    A hashed bitmap of the list (about two bytes a key, its size checked against
+    ``max_bytes``) is broadcast. A row whose bit is not set is surely not listed and stays
+    where it is; the others, listed rows and one in some sixteen by chance, go through the
+    anti join. The table is read twice for it, each time with the filter of its part. A list
+    beyond the bound is joined as it is.
+    """
+    listed = _key_list(keys, key_col)
+    sieve = key_sieve(listed, max_bytes=max_bytes)
+    if sieve is None:
+        return deduct(df, keys, key_col, doc, sku)
+    marks, bits = sieve
+    place = F.pmod(F.xxhash64("__ded_key"), F.lit(bits)) + 1
+    rows = _keyed(df, doc, sku).withColumn("__at", F.when(F.col("__ded_key").isNotNull(), place))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("__at") == F.col("__part"), "left")
+    at = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))) % 2 == 1, F.lit(False))
+    rows = rows.select(*df.columns, "__ded_key", maybe.alias("__maybe"))
+    stays = rows.filter(~F.col("__maybe")).select(*df.columns)
+    return stays.unionByName(rows.filter("__maybe").join(listed, "__ded_key", "left_anti").select(*df.columns))
+
+
 def only_deducted(df: DataFrame, keys: DataFrame, key_col: str, doc: str = "doc_no", sku: str = "sku") -> DataFrame:
     """Rows whose ``<doc>_<sku>`` key is listed (left semi join)."""
     return _keyed(df, doc, sku).join(_key_list(keys, key_col), "__ded_key", "left_semi").drop("__ded_key")

@@ -82,6 +82,41 @@ def delete_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(target, True)
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    target, filesystem = hadoop_path(spark, path)
+    stream = filesystem.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file with this text unless it is there; False if somebody else created it.
+
+    The text is written under another name and then takes the path's: a hard link on a
+    local filesystem, elsewhere a rename, which HDFS refuses for a name that is taken. Object
+    stores without such a rename need one publisher at a time.
+    """
+    target, filesystem = hadoop_path(spark, path)
+    draft, _ = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = filesystem.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if target.toUri().getScheme() != "file":
+        created = not filesystem.exists(target) and filesystem.rename(draft, target)
+    else:
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            created = True
+        except FileExistsError:
+            created = False
+    if filesystem.exists(draft):
+        filesystem.delete(draft, False)
+    return bool(created)
+
+
 def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     """Put the folder ``new`` in the place of ``path``; what stood there goes only once the new one is in place."""
     source, filesystem = hadoop_path(spark, new)
