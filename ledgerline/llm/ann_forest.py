@@ -2,9 +2,12 @@
 
 Trees are grown on a bounded sample and every vector is routed to one leaf per
 tree. A query walks all trees at once with one priority queue ordered by the
-margin to the splitting planes and visits leaves until they hold the asked share
-of the index. Candidates are then reranked exactly, in double precision, leaf by
-leaf in blocks.
+margin to the splitting planes and visits leaves until they are expected to hold a
+share of the index. That share is the least at which queries held out of the sample
+find ``recall`` of their nearest neighbours in the sample. Candidates are then
+reranked exactly, in double precision, leaf by leaf in blocks. A row knows its leaves
+in all trees and a query those it visits, so a candidate that several visited leaves
+hold is scored in the first of them only: each once, never more than an exact scan.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, and neither do rows without an id. Equal
@@ -30,15 +33,18 @@ from ledgerline.llm.common import hash_sample, prepare, stage
 class ForestParams:
     """``sample_rows`` is about what is collected to grow the trees; every vector is indexed.
 
-    ``share``: the share of all indexed vectors that the leaves a query visits are
-    expected to hold. Data without cluster structure needs a large one; the README
-    has measured recalls.
+    ``recall`` is what the held-out queries must reach; more rows lie closer together, so
+    the whole table's recall is rather higher. ``share`` fixes the share of the index that
+    visited leaves are expected to hold instead of fitting it. Data without cluster
+    structure needs a large one; the README has measured figures.
     """
 
-    trees: int = 8
+    trees: int = 6
     leaf_rows: int = 128
     sample_rows: int = 20_000
-    share: float = 0.9
+    recall: float = 0.95
+    held_out: int = 200
+    share: float | None = None
     block_rows: int = 4096
     seed: int = 5
 
@@ -131,6 +137,42 @@ def search(trees: list[Tree], held: list[np.ndarray], query: np.ndarray, wanted:
     return out
 
 
+def fitted_share(trees: list[Tree], points: np.ndarray, k: int, params: ForestParams, rng: np.random.Generator) -> float:
+    """The least share (in steps of 0.05) at which held-out queries find ``params.recall`` of their k nearest sample points."""
+    if len(points) <= k + 1:
+        return 1.0
+    asked = rng.permutation(len(points))[: params.held_out]
+    leaf_of = [route(t, points) for t in trees]
+    held = [np.bincount(at, minlength=t.leaves) for t, at in zip(trees, leaf_of)]
+    shares = np.arange(0.05, 1.0, 0.05)
+    found = np.zeros(len(shares))
+    for q in asked:
+        far = ((points - points[q]) ** 2).sum(1)
+        far[q] = np.inf
+        want = np.argpartition(far, k)[:k]
+        # The queue's order does not depend on the share, so one walk tells at which share each neighbour is reached.
+        reached, missed, seen = np.ones(k), 1.0, [0.0] * len(trees)
+        for t, leaf in search(trees, held, points[q], 1.0):
+            hit = (leaf_of[t][want] == leaf) & (reached == 1.0)
+            reached[hit] = 1 - missed
+            seen[t] += held[t][leaf] / len(points)
+            missed = float(np.prod([1 - min(1.0, s) for s in seen]))
+        found += (reached[None, :] < shares[:, None]).mean(axis=1)
+    enough = np.flatnonzero(found / len(asked) >= params.recall)
+    return float(shares[enough[0]]) if len(enough) else 1.0
+
+
+def visited_before(visits: list[tuple[int, int]], trees: list[Tree]) -> list[bytes]:
+    """For each tree, the bits of the leaves that a query visits in the trees before it, end to end."""
+    marks, out = [], []
+    for t, tree in enumerate(trees):
+        out.append(b"".join(marks))
+        mark = np.zeros(-(-tree.leaves // 8) * 8, np.uint8)
+        mark[[leaf for of, leaf in visits if of == t]] = 1
+        marks.append(np.packbits(mark, bitorder="little").tobytes())
+    return out
+
+
 def usable(column: str) -> F.Column:
     x = F.col(column)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -162,10 +204,14 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["v"].tolist(), np.float64).reshape(len(batch), -1)
-            for t, tree in enumerate(trees):
-                yield pd.DataFrame({"tree": t, "leaf": route(tree, x), "gid": batch["gid"], "v": batch["v"]})
-
-    routed = f"tree int, leaf int, gid long, v {groups.schema['v'].dataType.simpleString()}"
+            at = np.stack([route(tree, x) for tree in trees], axis=1).astype(np.int32)
+            for t in range(len(trees)):
+                yield pd.DataFrame({"tree": t, "leaf": at[:, t], "gid": batch["gid"], "v": batch["v"],
+                                    "before": [row.tobytes() for row in np.ascontiguousarray(at[:, :t])]})
+
+    # ``before``: of a row its leaves in the earlier trees, of a query the bits of those it visits there.
+    routed = f"tree int, leaf int, gid long, v {groups.schema['v'].dataType.simpleString()}, before binary"
+    share = fitted_share(trees, points, k, params, rng) if params.share is None else params.share
     index = stage(groups.select("gid", "v").mapInPandas(leaves, routed), "index")
     held = [np.zeros(tree.leaves, np.int64) for tree in trees]
     for r in index.groupBy("tree", "leaf").count().collect():  # as many rows as the trees have leaves
@@ -175,8 +221,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
         for batch in batches:
             found = []
             for gid, v in zip(batch["gid"].tolist(), batch["v"].tolist()):
-                found += [(t, leaf, gid, v) for t, leaf in search(trees, held, np.array(v, np.float64), params.share)]
-            yield pd.DataFrame(found, columns=["tree", "leaf", "gid", "v"])
+                visits = search(trees, held, np.array(v, np.float64), share)
+                before = visited_before(visits, trees)
+                found += [(t, leaf, gid, v, before[t]) for t, leaf in visits]
+            yield pd.DataFrame(found, columns=["tree", "leaf", "gid", "v", "before"])
 
     probes = stage(queries.mapInPandas(visit, routed), "probes")
     asking = {(r["tree"], r["leaf"]): r["count"] for r in probes.groupBy("tree", "leaf").count().collect()}
@@ -186,28 +234,35 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     blocks = spark.createDataFrame(blocks, "tree int, leaf int, rows_in int, asked_in int")
     sized = F.broadcast(blocks)  # at most trees * leaves rows
     own = F.expr("cast(pmod(xxhash64(gid), rows_in) as int)")
-    index = index.join(sized, ["tree", "leaf"]).select("tree", "leaf", own.alias("i"), F.explode(F.expr("sequence(0, asked_in - 1)")).alias("j"), "gid", "v")
+    index = index.join(sized, ["tree", "leaf"]).select("tree", "leaf", own.alias("i"), F.explode(F.expr("sequence(0, asked_in - 1)")).alias("j"), "gid", "v", "before")
     theirs = F.expr("cast(pmod(xxhash64(gid), asked_in) as int)")
-    probes = probes.join(sized, ["tree", "leaf"]).select("tree", "leaf", F.explode(F.expr("sequence(0, rows_in - 1)")).alias("i"), theirs.alias("j"), "gid", "v")
+    probes = probes.join(sized, ["tree", "leaf"]).select("tree", "leaf", F.explode(F.expr("sequence(0, rows_in - 1)")).alias("i"), theirs.alias("j"), "gid", "v", "before")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "gid": [], "score": []})
         left = left.sort_values("gid", ignore_index=True)
         gids, x = left["gid"].to_numpy(), np.stack(left["v"].to_numpy()).astype(np.float64)
+        tree = int(left["tree"].iloc[0])
+        leaf = np.frombuffer(b"".join(left["before"]), np.int32).reshape(len(left), tree)
+        first = np.cumsum([0, *(-(-t.leaves // 8) * 8 for t in trees)])[:tree]
         asks, found, scores = [], [], []
-        for query, v in zip(right["gid"].tolist(), right["v"].tolist()):
-            score = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(1))
+        for query, v, before in zip(right["gid"].tolist(), right["v"].tolist(), right["before"].tolist()):
+            new = np.ones(len(left), bool)
+            if tree:  # rows of leaves that the query visits in an earlier tree are scored there
+                visited = np.unpackbits(np.frombuffer(before, np.uint8), bitorder="little")
+                new = ~visited[leaf + first].any(axis=1)
+            at = np.flatnonzero(new)
+            score = np.sqrt(((x[at] - np.asarray(v, np.float64)) ** 2).sum(1))
             best = np.argsort(score, kind="stable")[: k + 1]
             asks.append(np.full(len(best), query))
-            found.append(gids[best])
+            found.append(gids[at[best]])
             scores.append(score[best])
         return pd.DataFrame({"query": np.concatenate(asks), "gid": np.concatenate(found), "score": np.concatenate(scores)})
 
     keys = ["tree", "leaf", "i", "j"]
     scored = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(rerank, "query long, gid long, score double")
-    best = scored.groupBy("query", "gid").agg(F.min("score").alias("score"))
-    best = best.withColumn("n", F.expr("row_number() over (partition by query order by score, gid)")).filter(F.col("n") <= k + 1)
+    best = scored.withColumn("n", F.expr("row_number() over (partition by query order by score, gid)")).filter(F.col("n") <= k + 1)
     best = stage(best, "best")
     spread = best.join(groups.select("gid", "ids"), "gid").select("query", "score", F.explode("ids").alias("id"))
     spread = spread.withColumn("n", F.expr("row_number() over (partition by query order by score, id)")).filter(F.col("n") <= k + 1)

@@ -269,6 +269,36 @@ def test_recall_over_the_embeddings(spark, sf_dir):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_every_visited_row_is_scored_once_and_fewer_than_in_a_scan():
+    rng = np.random.default_rng(1)
+    for points in (rng.normal(size=(3000, 16)), rng.normal(size=(3000, 16)) * 0.1 + rng.normal(size=(60, 16))[rng.integers(0, 60, 3000)]):
+        params = ann_forest.ForestParams(trees=4, leaf_rows=64)
+        trees = [ann_forest.grow(points, params.leaf_rows, rng) for _ in range(params.trees)]
+        share = ann_forest.fitted_share(trees, points, 10, params, rng)
+        leaf = [ann_forest.route(t, points) for t in trees]
+        held = [np.bincount(at, minlength=t.leaves) for t, at in zip(trees, leaf)]
+        scored = hits = 0
+        for q in range(0, 3000, 30):
+            visits = ann_forest.search(trees, held, points[q], share)
+            before = ann_forest.visited_before(visits, trees)
+            times = np.zeros(len(points), int)
+            for t, of in visits:
+                inside = leaf[t] == of
+                marks = np.unpackbits(np.frombuffer(before[t], np.uint8), bitorder="little")
+                at = 0
+                for earlier in range(t):
+                    inside &= marks[at + leaf[earlier]] == 0
+                    at += -(-trees[earlier].leaves // 8) * 8
+                times[inside] += 1
+            assert times.max() == 1 and set(np.flatnonzero(times)) == {i for t, of in visits for i in np.flatnonzero(leaf[t] == of)}
+            far = ((points - points[q]) ** 2).sum(1)
+            far[q] = np.inf
+            hits += times[np.argpartition(far, 10)[:10]].sum()
+            scored += times.sum()
+        assert hits >= 0.92 * 10 * 100 and scored < 0.9 * 100 * len(points)
+    assert share < 0.3  # clusters need a small part of the index
+
+
 def test_odd_vectors_ties_and_few_candidates(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0], 1) for i in range(0, 60)] + [(100, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (200, [0.0, 2.0], 1), (201, [0.0, 1.0], 1)]
