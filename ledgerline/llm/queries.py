@@ -58,7 +58,7 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_tree.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return html_tree.extract(table(spark, sf_dir, "pages"), ["page_id", "url"]).select("_row.*", "text", "n_chars")
 
 
 def op8_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,11 +50,65 @@ def test_other_layouts_and_odd_html(spark, pages):
     for page in (None, "", "<", "<p", "</p></div>", "<!-- a", "<div " * 500, "<b>" * 3000 + "x"):
         assert isinstance(html_tree.main_text(page, model), str)
     frame = spark.createDataFrame([(1, None, "t"), (None, "", "t"), (2, OTHER_PAGE, None), (2, OTHER_PAGE, None)], "page_id long, html string, text string")
-    got = html_tree.extract(frame, ["page_id"]).collect()
+    got = html_tree.extract(frame, ["page_id", "text"]).collect()
+    assert sorted(str(r["_row"].text) for r in got) == ["None", "None", "t", "t"]
     assert len(got) == 4 and sum(r.n_chars > 0 for r in got) == 2
     assert html_tree.extract(frame.limit(0), ["page_id"]).collect() == []
 
 
+LONG = ["The first paragraph of the story tells at some length how the river rose over night and what the town did then.",
+        "A second paragraph follows it, with more sentences about the people, the weather, the bridges and the long day after.",
+        "The third one closes the story and says when the water fell again, who came back first, and what was found."]
+PARAS = "".join(f"<p>{x}</p>" for x in LONG)
+STORY = "\n\n".join(["The flood", *LONG])
+MENU = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ("Home", "News", "Sport", "Weather", "About us"))
+NOTICE = "We use cookies on this site to make it work, to count our visitors and to show you advertisements that you may like."
+REMARK = "<li><p>I read this with great interest and I remember the year when the water stood even higher in the lower town.</p></li>" * 4
+
+# Page, and what else than the story it should give (nothing).
+LAYOUTS = {
+    "page builder": f"<body><nav><ul>{MENU}</ul></nav><main><div class='elementor-widget-text'><h1>The flood</h1>{PARAS}</div></main><footer>(c) 2024</footer>",
+    "article with state classes": f"<body><article class='post share-enabled comments-open'><h1>The flood</h1>{PARAS}</article><div class=sidebar><p>{NOTICE}</p></div>",
+    "table": f"<table><tr><td><ul>{MENU}</ul></td><td><h1>The flood</h1>{PARAS}</td></tr><tr><td colspan=2>(c)</td></tr></table>",
+    "article with its header": f"<body><header><a href=/>Site</a></header><article><header class=entry-header><h1>The flood</h1></header>{PARAS}</article>",
+    "body classes": f"<body class='has-sidebar no-comments with-banner'><main><h1>The flood</h1>{PARAS}</main><aside><p>{NOTICE}</p></aside>",
+    "plain divisions": f"<body><div id=top><a href=/>Site</a></div><div><div><h1>The flood</h1>{PARAS}</div></div><div class=footer>(c) 2024</div>",
+    "content division": f"<body><div class='cookie-notice'>{NOTICE}</div><div id=content><h1>The flood</h1>{PARAS}</div><div class=share-buttons>Share Tweet</div>",
+    "comments longer than the article": f"<body><article><h1>The flood</h1>{PARAS}<div id=comments class=comments-area><ol class=comment-list>{REMARK}</ol></div></article>",
+    "comments as articles": f"<body><main><article class=post><h1>The flood</h1>{PARAS}</article><article class=comment-body><p>{NOTICE}</p></article></main>",
+    "main with widgets around": f"<body><div class=widget><p>{NOTICE}</p></div><main><h1>The flood</h1>{PARAS}</main><div class='widget related-posts'><ul>{MENU}</ul></div>",
+    "camel case and sections": f"<body><section class=siteHeader><ul>{MENU}</ul></section><section class=articleBody><h1>The flood</h1>{PARAS}</section>"
+                               f"<section class=newsletterSignup><p>{NOTICE}</p></section>",
+    "form and advert inside": f"<body><article><h1>The flood</h1><p>{LONG[0]}</p><div class=ad><p>{NOTICE}</p></div><p>{LONG[1]}</p>"
+                              f"<form><label>Mail</label><p>{NOTICE}</p></form><p>{LONG[2]}</p></article>",
+}
+
+
+@pytest.fixture(scope="module")
+def model(pages):
+    return html_tree.train([p.html for p in pages])
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_give_their_article(model, name):
+    assert html_tree.main_text(LAYOUTS[name], model) == STORY
+
+
+def test_repeated_and_linking_blocks_of_an_article_are_no_content_labels():
+    pages = [f"<article><h1>Story {i}</h1><p>{x} {i}</p><p>{NOTICE}</p><ul><li><a href=/>See {i}</a></li></ul></article>" for i, x in enumerate(LONG)]
+    read = [html_tree.Page(p) for p in pages]
+    for page in read:
+        marks = html_tree.labels(page, {NOTICE})
+        assert [marks[k] for k, _ in page.blocks] == [1, 1, 0, 0]
+
+
+def test_depth_and_unclosed_tags_cost_linear_time(model):
+    for part in ("<div>", "<p>", "<li>", "<ul><li>", "<b>", "<table><tr><td>", "<button>", "<a href=x>", "</div>", "<script>", "<select>", "<div class='a b c'>x"):
+        began = time.process_time()
+        html_tree.main_text(part * 10_000 + "text", model)
+        assert time.process_time() - began < 10, part
+
+
 def test_left_out_end_tags_hide_no_text(pages):
     model = html_tree.train([p.html for p in pages])
     want = html_tree.main_text(OTHER_PAGE, model)
@@ -90,7 +144,7 @@ def test_marginals_equal_the_sum_over_all_states(pages):
         total = model.root[states[0]]
         for k, s in enumerate(states):
             total += sum(model.unary.get(f, model.unseen)[s] for f in html_tree.features(page, k))
-            total += model.pair[html_tree.kind(page.nodes[k])][states[page.nodes[k].parent]][s] if k else 0.0
+            total += model.pair[html_tree.kinds(page)[k]][states[page.nodes[k].parent]][s] if k else 0.0
         for k, s in enumerate(states):
             weight[k, s] += math.exp(total)
     assert np.allclose(model.marginals(page), weight[:, 1] / weight.sum(axis=1))
