@@ -486,6 +486,10 @@ SELECT doc_no, sku, 'txn_date', 'day ' || doc_no FROM d_invoice WHERE uom = 'Pie
                          "e.served - e.bad_returns - e.good_returns AS net_value_d, e.good_returns AS good_d, "
                          "e.bad_returns AS bad_d, CAST(e.served - e.bad_returns - e.good_returns AS DOUBLE) "
                          "AS net_value,") + ") GROUP BY ROLLUP (branch, rep_id)",
+    "ordered_write": _with() + """
+SELECT txn_date, doc_no, sku, qty,
+       row_number() OVER (ORDER BY txn_date ASC NULLS LAST, doc_no ASC NULLS LAST, sku ASC NULLS LAST, qty ASC NULLS LAST) AS place
+FROM (""" + NET_SELLOUT_BODY + """)""",
     "csv_read_by_name": _with() + """
 SELECT sku, sku_name, uom, CAST(price AS DOUBLE) AS price, price_class, channel FROM d_price""",
     "optional_source": _with() + """

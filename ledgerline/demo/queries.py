@@ -38,6 +38,7 @@ from ledgerline.plans.volume import with_volume
 from ledgerline.schemas import schema
 from ledgerline.session import scratch_dir
 from ledgerline.sources import ingest_checked, ingest_workbooks, read_report, read_table, required_values, write_report, write_workbooks
+from ledgerline.sources.order import deal_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +124,19 @@ def report_rollup_q(spark, sf_dir):
     return finish(O.rollup_totals(r, ["branch", "rep_id"], ["net_value", "good_returns", "bad_returns"]))
 
 
+def ordered_write_q(spark, sf_dir):
+    """Every row's place in an ordered report, read back from its files."""
+    report = R.net_sellout(_t(spark, sf_dir), DEMO_PARAMS)
+    path = f"{scratch_dir(spark)}/reports/ordered-{uuid.uuid4().hex}"
+    keys = R.REPORT_ORDER["net_sellout"]
+    deal_in_order(report, keys, rows_per_range=2000).write.parquet(path)
+    rows = spark.read.parquet(path).select(*keys, "_metadata.file_name", "_metadata.row_index")
+    files = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    before = files.withColumn("before", F.expr("sum(n) over (order by file_name) - n"))  # one row per file
+    placed = rows.join(F.broadcast(before), "file_name")
+    return finish(placed.select(*keys, (F.col("before") + F.col("row_index") + 1).cast("long").alias("place")))
+
+
 def workbook_ingest_q(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = f"{scratch_dir(spark)}/workbooks/customer-{uuid.uuid4().hex}"
@@ -438,6 +452,7 @@ QUERIES: dict[str, Query] = {
     "report_rollup": report_rollup_q,
     "deduct_sieved": deduct_sieved_q,
     "category_versions": category_versions_q,
+    "ordered_write": ordered_write_q,
     "csv_read_by_name": csv_read_by_name_q,
     "optional_source": optional_source_q,
     "header_offset_ingest": header_offset_ingest_q,
