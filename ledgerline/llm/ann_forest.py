@@ -43,7 +43,7 @@ class ForestParams:
     leaf_rows: int = 128
     sample_rows: int = 20_000
     recall: float = 0.95
-    held_out: int = 200
+    held_out: int = 100
     share: float | None = None
     block_rows: int = 4096
     seed: int = 5
