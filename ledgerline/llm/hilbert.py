@@ -6,9 +6,11 @@ numbered along a Hilbert curve, rows are sorted by that number, and equal runs o
 the order become shards: a shard's files span a compact box in every column, so
 predicates on any of them prune.
 
-Null values take the first cell. Ties on the curve are ordered by text hash, size
-and id, so one hot cell is cut like any other run. Repeated rows are placed each
-on its own. An empty table gives no rows.
+Null values take the first cell. Ties on the curve are ordered by text hash, size, id
+and place in the staged table, so one hot cell, or one row repeated any number of
+times, is cut like any other run. Repeated rows are placed each on its own. Texts of
+any length count by their size. An empty table gives no rows. Only the id and the
+dimensions are carried, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -96,9 +98,11 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], shards: int = 16, id_
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in dimensions if c != "size"],
                        (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"))
-    rows = with_curve(stage(rows, "sizes"), dimensions)
-    ranked, total = global_rank(rows, ["curve", "text_crc32", "size", "_id"], "curve")
+    rows = stage(rows, "sizes")
+    place = rows.metadataColumn("_metadata")  # tells repeated rows apart, so that any number of them is dealt over many tasks
+    rows = rows.select("*", F.xxhash64(place["file_path"]).alias("_tie_file"), place["row_index"].alias("_tie_row"))
+    ranked, total = global_rank(with_curve(rows, dimensions), ["curve", "text_crc32", "size", "_id", "_tie_file", "_tie_row"], "curve")
     placed = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
     # The first rank of shard s is the smallest r with r * shards >= s * total.
     placed = placed.withColumn("slot", F.expr(f"rank - (shard * {total}L + {shards - 1}) div {shards}"))
-    return placed.withColumnRenamed("_id", id_col).drop("rank")
+    return placed.withColumnRenamed("_id", id_col).drop("rank", "_tie_file", "_tie_row")

@@ -13,7 +13,8 @@ prior counts as many documents as 1 / r - 1. Where nothing is left (or no host h
 two documents) the hosts tell no prior and ``default_strength`` is used.
 
 Null and blank texts have no words and fail the base rules. A null host is a host
-of its own. Repeated rows count each. An empty table gives no rows.
+of its own. Repeated rows count each. Texts of any length are read whole. An empty
+table gives no rows. Kept columns come as struct ``_row``, so no name in them can clash.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ spread before any pattern is repeated more often. Inside a pattern, whole
 repetitions go to every document and the rest to documents in a seeded hash order.
 
 Null texts have size 0 and are never taken. Null sources form a source of their
-own, last in order. Repeated rows are documents of their own. An empty table
-gives no rows. Only the pattern table (at most ``MAX_PATTERNS`` rows, checked)
+own, last in order. Repeated rows are documents of their own. Texts of any length
+count whole. Kept columns come as struct ``_row``, so no name in them can clash. An
+empty table gives no rows. Only the pattern table (at most ``MAX_PATTERNS`` rows, checked)
 reaches the driver.
 """
 

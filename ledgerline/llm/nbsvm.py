@@ -6,8 +6,10 @@ indicator is scaled by its class log-count ratio, vectors are brought to unit
 length, and a linear hinge-loss model is fitted by dual coordinate descent.
 
 Null texts count as empty: they have no features and get the score of the bias.
-Ids that carry contradicting labels, or none, are not used for fitting; without
-labels of both classes every text gets 0.5. Repeated rows are scored each.
+Ids that carry contradicting labels, or none, are not used for fitting; of several
+texts of one id the one with the smallest hash is. Without labels of both classes every
+text gets 0.5. Repeated rows are scored each. Texts of any length are read whole. An
+empty table gives no rows. Kept columns come as struct ``_row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -172,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     half = [marks.filter(F.col("_y") == y).orderBy(order, "_id").limit(params.train_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(half[0].union(half[1]))  # at most train_rows rows
     found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).join(chosen, "_id")
-    found = found.select("_id", "_y", feature_column(F.col("_t")).alias("_f")).dropDuplicates(["_id"])
+    found = found.groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+    found = found.select("_id", "_y", feature_column(F.col("_t")).alias("_f"))
     rows = sorted(found.collect(), key=lambda r: r["_id"])
     return fit([np.array(r["_f"], np.int64) for r in rows], [r["_y"] for r in rows], params)
 

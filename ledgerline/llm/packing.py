@@ -6,7 +6,8 @@ squared number of partially filled sequences smallest. The state of a packer is
 the level array: how many open sequences stand at each fill level, and which.
 
 Null texts count as empty: they hold only the closing id. Repeated rows are
-packed each on its own. An empty table gives no rows.
+packed each on its own. Texts of any length are cut whole. An empty table gives no
+rows. Only the id is carried, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ hooking to the smallest neighbour over staged tables.
 
 Null and blank texts have fingerprint zero and are linked like any other. Equal
 texts share a fingerprint and are compared once. Null ids take part; a component's
-id is the smallest non-null one. An empty table gives no rows.
+id is the smallest non-null one. Texts of any length are read whole. An empty table
+gives no rows. Kept columns come as struct ``_row``, so no name in them can clash.
 """
 
 from __future__ import annotations

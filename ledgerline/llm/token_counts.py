@@ -5,7 +5,8 @@ of 1, 2, ... code points; the total, budget tests and truncation points are read
 from it without encoding again.
 
 Null texts count as empty (0 tokens). Repeated rows are counted each. Texts of
-any length are processed whole, in chunks cut where a word surely ends.
+any length are processed whole, in chunks cut where a word surely ends. An empty table
+gives no rows. Only the id is carried, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import hilbert, host_rules, mixing, nbsvm, simhash
 from ledgerline.llm.queries import (
@@ -132,6 +133,12 @@ def test_an_outlying_string_does_not_merge_the_others(spark):
     assert all(len(s) <= 80 for s in spans.values())  # 16 shards over 640 hosts, in cells of ten
 
 
+def test_a_row_repeated_thousands_of_times_is_cut_like_any_run(spark):
+    docs = spark.createDataFrame([(7, "same", "s")] * 4000 + [(i, f"t{i}", "o") for i in range(500)], "doc_id long, text string, source string")
+    got = hilbert.hilbert_shards(docs.repartition(4), ["source", "size"])
+    check_shards(got.collect(), [(7, "same")] * 4000 + [(i, f"t{i}") for i in range(500)])
+
+
 def fingerprint(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = WORDS.findall(lower)
@@ -226,6 +233,25 @@ def cost(taken, size):
     return sum(r * r * min(size, max(0, taken - (r - 1) * size)) for r in (1, 2, 3))
 
 
+def levelled(sizes, weights, total, cap):
+    """Targets by another way: the level at which all sources, each filled to its weight times the level or its cap, hold the total."""
+    low, high = 0.0, 2 * total
+    for _ in range(200):
+        level = (low + high) / 2
+        held = sum(min(cap * n, level * w) for n, w in zip(sizes, weights))
+        low, high = (level, high) if held < total else (low, level)
+    return [min(cap * n, high * w) for n, w in zip(sizes, weights)]
+
+
+def test_targets_equal_a_common_level():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        sizes = [int(n) for n in rng.integers(0, 2000, rng.integers(1, 9))]
+        weights = [WEIGHTS[i % 3] for i in range(len(sizes))]
+        total = float(sum(sizes)) * rng.choice([0.2, 1.0, 2.0])
+        assert np.allclose(mixing.targets(sizes, weights, total, 3), levelled(sizes, weights, total, 3), atol=1e-6)
+
+
 def test_mix_meets_its_targets_and_agrees_with_a_rerun(spark):
     sf_dir = "/root/testdata/sf0.01"  # fifty documents a source: whole documents come near a target
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
@@ -237,7 +263,7 @@ def test_mix_meets_its_targets_and_agrees_with_a_rerun(spark):
     totals = Counter()
     for k, s in source.items():
         totals[s] += sizes[k]
-    want = dict(zip(names, mixing.targets([totals[s] for s in names], [WEIGHTS[i % 3] for i in range(len(names))], sum(totals.values()), 3)))
+    want = dict(zip(names, levelled([totals[s] for s in names], [WEIGHTS[i % 3] for i in range(len(names))], sum(totals.values()), 3)))
     taken = Counter()
     for r in rows:
         s = source[r.doc_id]
@@ -307,6 +333,44 @@ def test_a_fit_without_both_classes_scores_one_half(spark, no_docs):
     assert model.score(nbsvm.Features().ids("some text")) == 0.5
 
 
+def test_the_fit_equals_one_by_another_solver():
+    """Dense vectors, the ratio of the two class profiles, and the dual problem by projected gradients."""
+    rng = np.random.default_rng(4)
+    grams, rows, y = 30, [], []
+    for i in range(40):
+        good = i % 2
+        p = np.where(np.arange(grams) % 2 == good, 0.35, 0.25)
+        rows.append(np.flatnonzero(rng.random(grams) < p))
+        y.append(good)
+    params = nbsvm.NbSvmParams(epochs=4000)
+    model = nbsvm.fit(rows, y, params)
+
+    sign = np.where(np.array(y) == 1, 1.0, -1.0)
+    has = np.zeros((40, grams))
+    for i, ids in enumerate(rows):
+        has[i, ids] = 1
+    whole = nbsvm.DIM * params.alpha  # every feature is smoothed, also those that no row has
+    profile = [(params.alpha + has[sign == s].sum(0)) / (whole + has[sign == s].sum()) for s in (1.0, -1.0)]
+    x = has * np.log(profile[0] / profile[1])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.hstack([x, np.ones((40, 1))])
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    dual, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        dual = np.clip(dual - step * (gram @ dual - 1), 0, params.cost)
+    margins = x @ (x.T @ (dual * sign))
+    found = [np.log(s / (1 - s)) / params.slope for s in map(model.score, rows)]
+    assert np.abs(margins - found).max() < 1e-3
+
+
+def test_of_several_texts_of_an_id_one_is_always_taken(spark):
+    rows = [(i, f"good words number {i}" if i % 2 else f"BAD $$$ {i}") for i in range(40)] + [(i, f"other text {j} of {i}") for i in range(10) for j in range(3)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = (nbsvm.train(d, marks, "quality") for d in (docs.repartition(3), docs.orderBy(F.desc("text")).repartition(5)))
+    assert np.array_equal(first.weight, again.weight) and first.bias == again.bias
+
+
 def test_dual_coordinate_descent_separates_a_separable_set():
     rows = [np.array([1, 2, 3]), np.array([1, 2, 4]), np.array([5, 6, 3]), np.array([5, 7, 4])] * 5
     model = nbsvm.fit(rows, [1, 1, 0, 0] * 5, nbsvm.NbSvmParams())
