@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import keep_rows, keyed, prepare, stage, unstage
 
 SEED = 42
-TILE_ROWS = 4096
-# Tiles grow with the table so that there are at most about so many of them beside the population classes.
-MAX_CHUNKS = 512
+# Fingerprints of a tile: the least, and the most that a task holds of either side (32 MB). Between them tiles
+# grow with the table, so that about so many chunks are met by every fingerprint and the shuffle stays near its size.
+TILE_ROWS, MOST_ROWS = 4096, 4 << 20
+FEW_CHUNKS = 512
 _BLOCK = 1 << 18
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -125,51 +126,55 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
-def tile_plan(counts: dict[tuple[int, int], int], radius: int) -> tuple[list[tuple], int]:
-    """Chunks of every tile and, for each chunk, the pairs it takes part in.
+def tile_plan(counts: dict[tuple[int, int], int], radius: int) -> list[tuple]:
+    """For each class of population counts its chunks and the classes it meets: rows (lo, hi, chunks, [(pair, side, other_chunks), ...]).
 
-    ``counts``: fingerprints by the population counts of the two halves (33 x 33
-    classes at most). Returns rows (lo, hi, chunk, [(pair, side), ...]) and the tile size.
+    ``counts``: fingerprints by the population counts of the two halves, 33 x 33 classes
+    at most, whatever the table's size; each meets the 41 at most that are within reach.
+    A pair of classes has a number; in the pair of a class with itself the side is -1.
     """
     total = sum(counts.values())
-    rows = max(TILE_ROWS, -(-total // MAX_CHUNKS))
+    rows = min(max(TILE_ROWS, -(-total // FEW_CHUNKS)), MOST_ROWS)
     chunks = {t: -(-n // rows) for t, n in counts.items()}
-    members: dict[tuple, list[tuple[int, int]]] = {(lo, hi, c): [] for (lo, hi), n in chunks.items() for c in range(n)}
+    meets: dict[tuple[int, int], list[tuple[int, int, int]]] = {t: [] for t in counts}
     pair = 0
-    for x in members:
+    for x in counts:
         for lo in range(x[0], x[0] + radius + 1):
             reach = radius - (lo - x[0])
             for hi in range(x[1] - reach, x[1] + reach + 1):
-                for c in range(chunks.get((lo, hi), 0)):
-                    y = (lo, hi, c)
-                    if y >= x:
-                        members[x].append((pair, 0))
-                        if y != x:
-                            members[y].append((pair, 1))
-                        pair += 1
-    return [(*k, v) for k, v in members.items()], rows
+                y = (lo, hi)
+                if y in chunks and y >= x:
+                    meets[x].append((pair, 0 if y != x else -1, chunks[y]))
+                    if y != x:
+                        meets[y].append((pair, 1, chunks[x]))
+                    pair += 1
+    return [(*t, chunks[t], meets[t]) for t in counts]
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints ``fp`` at ``radius`` bits or fewer."""
+    """Spanning links (u, v) between distinct fingerprints ``fp`` at ``radius`` bits or fewer.
+
+    A tile is a chunk of a class. Every fingerprint is dealt to the pairs of its tile
+    with each chunk of each class within reach; which these are follows from the classes alone.
+    """
     spark = prints.sparkSession
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
     tiles = prints.select("fp", low.cast("int").alias("lo"), high.cast("int").alias("hi"))
     histogram = {(r["lo"], r["hi"]): r["count"] for r in tiles.groupBy("lo", "hi").count().collect()}
-    plan, rows = tile_plan(histogram, radius)
-    # One row per chunk: at most 33 * 33 classes and MAX_CHUNKS more, whatever the table's size.
-    members = spark.createDataFrame(plan, "lo int, hi int, chunk int, pairs array<struct<pair:int,side:int>>")
-    sizes = spark.createDataFrame([(*k, -(-n // rows)) for k, n in histogram.items()], "lo int, hi int, chunks int")
-    placed = tiles.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("chunk", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
-    paired = placed.join(F.broadcast(members), ["lo", "hi", "chunk"]).select("fp", F.explode("pairs").alias("m"))
+    plan = spark.createDataFrame(tile_plan(histogram, radius), "lo int, hi int, chunks int, meets array<struct<pair:int,side:int,others:int>>")
+    placed = tiles.join(F.broadcast(plan), ["lo", "hi"]).withColumn("own", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
+    met = placed.select("fp", "own", F.explode("meets").alias("m")).select("fp", "own", "m.pair", "m.side", F.explode(F.expr("sequence(0, m.others - 1)")).alias("other"))
+    first = F.expr("if(side = 1 or (side = -1 and other < own), other, own)").alias("first")
+    second = F.expr("if(side = 1 or (side = -1 and other < own), own, other)").alias("second")
+    later = F.expr("if(side = -1, own > other, side = 1)").alias("later")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        values, second = group["fp"].to_numpy().view(np.uint64), group["side"].to_numpy() == 1
-        u, v = tile_forest(values[~second], values[second] if second.any() else None, radius)
+        values, second = group["fp"].to_numpy().view(np.uint64), group["later"].to_numpy()
+        u, v = tile_forest(values[~second], values[second] if second.any() else None, radius) if not second.all() else (values[:0], values[:0])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return paired.select("m.pair", "m.side", "fp").groupBy("pair").applyInPandas(compare, "u long, v long")
+    return met.select("pair", first, second, later, "fp").groupBy("pair", "first", "second").applyInPandas(compare, "u long, v long")
 
 
 def _to_roots(hook: DataFrame) -> DataFrame:
