@@ -498,6 +498,9 @@ UNION ALL SELECT 'absent', CAST(0 AS BIGINT)""",
     "header_offset_ingest": _with() + "SELECT CAST(txn_date AS VARCHAR) AS txn_date, week FROM d_calendar",
     "positional_ingest": _with() + "SELECT customer_id AS owner, route_code AS code FROM d_route",
     "missing_tokens": _with() + "SELECT customer_id, NULLIF(created, 'N/A') AS created FROM d_customer",
+    "workbook_columns": _with() + """
+SELECT 'invoice' AS extract, sku, CAST(count(*) AS BIGINT) AS rows FROM d_invoice GROUP BY sku
+UNION ALL SELECT 'returns', sku, CAST(count(*) AS BIGINT) FROM d_returns GROUP BY sku""",
     "tolerant_text": _with() + """
 SELECT doc_no, sku, uom, TRY_CAST(CASE uom WHEN 'Subcase' THEN CAST(qty AS VARCHAR) || ' pcs' WHEN 'Piece' THEN ''
                                   ELSE CAST(qty AS VARCHAR) END AS DOUBLE) AS qty

@@ -187,6 +187,18 @@ def missing_tokens_q(spark, sf_dir):
     return ingest_workbooks(spark, path, found).drop("source_file")
 
 
+def workbook_columns_q(spark, sf_dir):
+    """Two columns of a folder of workbooks that was replaced by invoices and then had returns added."""
+    t = _t(spark, sf_dir)
+    path = _folder(spark, "lines")
+    lines = {name: t[name].select("txn_date", "customer_id", "sku", F.lit(name).alias("extract"), "uom") for name in ("invoice", "returns")}
+    write_workbooks(lines["returns"], path)
+    write_workbooks(lines["invoice"], path)
+    write_workbooks(lines["returns"], path, mode="append")
+    two = T.StructType([T.StructField("extract", T.StringType()), T.StructField("sku", T.StringType())])
+    return ingest_workbooks(spark, path, two).groupBy("extract", "sku").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- filters and scalar functions -------------------------------------------
 
 def null_keeping_filter_q(spark, sf_dir):
@@ -458,6 +470,7 @@ QUERIES: dict[str, Query] = {
     "header_offset_ingest": header_offset_ingest_q,
     "positional_ingest": positional_ingest_q,
     "missing_tokens": missing_tokens_q,
+    "workbook_columns": workbook_columns_q,
     "tolerant_text": tolerant_text_q,
     "complete_references": complete_references_q,
     "price_fanout": price_fanout_q,

@@ -18,7 +18,8 @@ from ledgerline.plans.daily import COUNTED, REQUIRED, Watched, run_daily
 from ledgerline.plans.quality import loss_metrics
 from ledgerline.sources import ingest_checked, ingest_workbooks, read_checked, read_report, read_table, required_values, write_report
 from ledgerline.sources.reports import date_folder
-from ledgerline.sources.workbook import build_workbook, parse_workbook, write_workbooks
+from ledgerline.sources.sheets import build_workbook, parse_workbook
+from ledgerline.sources.workbook import write_workbooks
 from tests.fixtures import tables
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.sources import ingest_workbooks, read_report, read_table, report_label, required_values, write_report
-from ledgerline.sources.workbook import build_workbook, parse_workbook, stream_workbook, write_workbooks
+from ledgerline.sources.sheets import build_workbook, parse_workbook, stream_workbook
+from ledgerline.sources.workbook import write_workbooks
 
 
 def test_report_partitions_overwrite_one_date(spark):
