@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,25 +63,40 @@ EXTRACTS = [
 class DerivedTables:
     """Domain tables as lazy plans over the raw test tables of one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._spread = spread
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _source(self, name: str, *cols: str) -> DataFrame:
+        """Columns of a raw table behind the fact extracts.
+
+        With ``spread``, rows of a file that Spark would read with fewer tasks than there are
+        cores are dealt to all of them here, where rows are narrow and few. Larger files are
+        split by their scans and are not shuffled for it.
+        """
+        df = self.raw(name).select(*cols)
+        cores = self.spark.sparkContext.defaultParallelism
+        if self._spread and _file_bytes(self.spark, f"{self.sf_dir}/{name}.parquet") < cores * SPLIT_BYTES:
+            df = df.repartition(cores)
+        return df
+
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     @cached_property
     def _lines(self) -> DataFrame:
-        li = self.raw("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        # Parts first: the join on orders leaves a document's lines together, so the landed files compress well.
+        li = self._source(
+            "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         p = self.raw("part").select("p_partkey", "p_name", "p_size")
-        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-                .join(p, F.col("l_partkey") == F.col("p_partkey")))
+        return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+                .join(o, F.col("l_orderkey") == F.col("o_orderkey")))
 
     @cached_property
     def invoice(self) -> DataFrame:
@@ -147,7 +163,7 @@ class DerivedTables:
 
     @cached_property
     def customer(self) -> DataFrame:
-        c = self.raw("customer")
+        c = self._source("customer", "*")
         n = self.raw("nation")
         r = self.raw("region")
         x = (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -183,7 +199,7 @@ class DerivedTables:
 
     @cached_property
     def route(self) -> DataFrame:
-        c = self.raw("customer").select("c_custkey", "c_nationkey")
+        c = self._source("customer", "c_custkey", "c_nationkey")
         key = F.col("c_custkey")
         days = [(0, "MON"), (1, "TUE"), (2, "WED"), (3, "THU"), (4, "FRI"), (5, "SAT")]
         weeks = _case(key % 5, [(0, "_WKLY"), (1, "_WK1_WK3"), (2, "_WK2_WK4"), (3, "_WK1")], "")
@@ -200,7 +216,7 @@ class DerivedTables:
 
     @cached_property
     def price(self) -> DataFrame:
-        p = self.raw("part").select("p_partkey", "p_name", "p_size", "p_retailprice").filter(F.col("p_size") != 4)
+        p = self._source("part", "p_partkey", "p_name", "p_size", "p_retailprice").filter(F.col("p_size") != 4)
         uoms = F.array(*[F.struct(F.lit(u).alias("uom"), F.lit(f).cast("decimal(4,2)").alias("factor"))
                          for u, f in [("Case", "1.00"), ("Subcase", "0.25"), ("Piece", "0.05")]])
         channels = F.array(F.lit("BOOK(Booking)"), F.lit("VAN(EXTRUCK)"))
@@ -278,10 +294,13 @@ class DerivedTables:
         return p.select(F.col("p_partkey").cast("string").alias("sku"), size.alias("case_size"))
 
 
-_LOCK = threading.Lock()
-_LANDED: dict[tuple[str, str], str] = {}
+_LOCK = threading.RLock()
+_ROOTS: dict[tuple[str, str], str] = {}
 _READS: dict[tuple[str, str], DataFrame] = {}
 
+# Bytes of a file for each core from which its scan feeds all cores (fixed value: Spark's default cost of opening a file).
+SPLIT_BYTES = 4 << 20
+
 
 def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -289,66 +308,71 @@ def _fs_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-FACT_EXTRACTS = {"invoice", "returns", "sales_order", "customer", "route", "price", "deductions"}
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    source, fs = _fs_path(spark, path)
+    return fs.getContentSummary(source).getLength()
+
+
+# Extracts that are derived from landed ones.
+LANDED_FROM = {"deductions": ("invoice", "returns")}
 
 
-def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
-    """Write every domain table of ``sf_dir`` as Parquet under the shared scratch folder.
+def _land(spark: SparkSession, sf_dir: str, root: str, name: str) -> None:
+    target = f"{root}/{name}.parquet"
+    tpath, fs = _fs_path(spark, target)
+    if fs.exists(tpath):
+        return
+    derived = DerivedTables(spark, sf_dir, spread=True)
+    for source in LANDED_FROM.get(name, ()):
+        _land(spark, sf_dir, root, source)
+        derived.__dict__[source] = spark.read.parquet(f"{root}/{source}.parquet")
+    tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
+    getattr(derived, name).write.mode("overwrite").parquet(tmp)
+    src, _ = _fs_path(spark, tmp)
+    if not fs.rename(src, tpath) and not fs.exists(tpath):
+        raise OSError(f"could not move {tmp} to {target}")
+
+
+def land_extracts(spark: SparkSession, sf_dir: str, force: bool = False, names: Sequence[str] | None = None) -> str:
+    """Write domain tables of ``sf_dir`` (by default all) as Parquet under the shared scratch folder.
 
     This is the landing step of a real deployment (extracts arrive once a day and
     are staged as typed Parquet); the reports then read the landed files with
-    column pruning, pushed filters and exact size statistics. Fact extracts are
-    spread over files of about 128 MB of their input, at least ``defaultParallelism``
-    of them, so their scans split across tasks;
-    references keep the partitions of their scans. Each table is written to a fresh folder
+    column pruning, pushed filters and exact size statistics. A table is written by the
+    tasks that compute it, without another shuffle: small inputs are dealt to all cores before
+    they are joined, larger ones split by their scans and joins. Each table is written to a fresh folder
     and renamed into place after the write commits, so a failed or retried job
     never leaves a partial table behind. Independent tables are written by
-    concurrent jobs. Landed once per Spark application and directory.
+    concurrent jobs. Each is landed once per Spark application and directory.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    names = EXTRACTS if names is None else names
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
-        if key in _LANDED and not force:
-            return _LANDED[key]
-        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        root = f"{scratch_dir(spark)}/landed/{tag}" + (f"-{uuid.uuid4().hex[:8]}" if force else "")
-        derived = DerivedTables(spark, sf_dir)
-        source, fs = _fs_path(spark, f"{key[1]}/lineitem.parquet")  # the largest table behind the fact extracts
-        width = max(spark.sparkContext.defaultParallelism, fs.getContentSummary(source).getLength() >> 27)
-
-        def land(name: str) -> None:
-            target = f"{root}/{name}.parquet"
-            tpath, fs = _fs_path(spark, target)
-            if fs.exists(tpath):
-                return
-            df = getattr(derived, name)
-            df = df.repartition(width) if name in FACT_EXTRACTS else df
-            tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
-            df.write.mode("overwrite").parquet(tmp)
-            src, _ = _fs_path(spark, tmp)
-            if not fs.rename(src, tpath) and not fs.exists(tpath):
-                raise OSError(f"could not move {tmp} to {target}")
-
-        first = [n for n in EXTRACTS if n != "deductions"]
+        if key not in _ROOTS or force:
+            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            _ROOTS[key] = f"{scratch_dir(spark)}/landed/{tag}" + (f"-{uuid.uuid4().hex[:8]}" if force else "")
+        root = _ROOTS[key]
+        sources = dict.fromkeys(s for n in names for s in LANDED_FROM.get(n, ()))
+        first = list(dict.fromkeys([*sources, *(n for n in names if n not in LANDED_FROM)]))
         with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(land, first))
-        # The deduction key lists are derived from the landed invoice and return extracts.
-        derived.__dict__["invoice"] = spark.read.parquet(f"{root}/invoice.parquet")
-        derived.__dict__["returns"] = spark.read.parquet(f"{root}/returns.parquet")
-        land("deductions")
-        _LANDED[key] = root
+            list(pool.map(lambda n: _land(spark, sf_dir, root, n), first))
+        for name in names:
+            _land(spark, sf_dir, root, name)
         return root
 
 
 class DemoTables:
-    """Domain tables of one scale-factor directory, read from their landed Parquet copies."""
+    """Domain tables of one scale-factor directory, read from their landed Parquet copies.
+
+    A table is landed when it is first asked for, so a query lands the extracts it reads and no others.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, landed: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._derived = None if landed else DerivedTables(spark, sf_dir)
-        self._root = land_extracts(spark, sf_dir) if landed else None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in EXTRACTS:
@@ -357,10 +381,12 @@ class DemoTables:
             return getattr(self._derived, name)
         # One DataFrame per landed table: files are listed and footers read once,
         # not on every use inside a plan.
-        key = (self._root, name)
-        if key not in _READS:
-            _READS[key] = self.spark.read.parquet(f"{self._root}/{name}.parquet")
-        return _READS[key]
+        with _LOCK:
+            root = _ROOTS.get((self.spark.sparkContext.applicationId, self.sf_dir))
+            if (root, name) not in _READS:
+                root = land_extracts(self.spark, self.sf_dir, names=[name])
+                _READS[(root, name)] = self.spark.read.parquet(f"{root}/{name}.parquet")
+            return _READS[(root, name)]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in EXTRACTS:
