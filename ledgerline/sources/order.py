@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Sampled keys for each range; rows of a range, where there are ranges enough for all cores.
 SAMPLE = 60
 FULL_RANGE, LEAST_RANGE = 250_000, 10_000
+# Children of a node in the search tree of the bounds.
+FANOUT = 16
 
 
 def _order(keys: Sequence[str]) -> Column:
@@ -32,11 +34,30 @@ def key_bounds(like: DataFrame, keys: Sequence[str], ranges: int, rows: int) ->
     """About ``ranges - 1`` keys that part ``like`` evenly, in order; a bounded sample reaches the driver."""
     share = min(1.0, SAMPLE * ranges / max(rows, 1))
     some = like.select(_order(keys).alias("o"))
-    some = (some.sample(share, seed=11) if share < 1 else some).coalesce(1).sortWithinPartitions("o").collect()
+    # Every partition is sampled by a task of its own; only the sampled keys meet in one.
+    some = (some.sample(share, seed=11) if share < 1 else some).repartition(1).sortWithinPartitions("o").collect()
     picked = [some[len(some) * i // ranges]["o"] for i in range(1, ranges)] if some else []
     return [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
 
 
+def _levels(bounds: list) -> list[list[tuple[int, list]]]:
+    """The bounds as levels of a search tree, from the top: rows of a node's number and its bounds.
+
+    The child of node ``n`` after ``c`` of its bounds is node ``n * FANOUT + c``; the
+    numbers of the last level's children are those of the ranges. A row thus meets ``FANOUT``
+    bounds at each of a few levels, never the whole list.
+    """
+    levels, width = [], 1
+    while width <= len(bounds):
+        width *= FANOUT
+    while width > 1:
+        step = width // FANOUT  # ranges of a child
+        ends = range(0, len(bounds) + 1, width)
+        levels.append([(n, [bounds[i - 1] for i in range(start + step, min(start + width, len(bounds) + 1), step)]) for n, start in enumerate(ends)])
+        width = step
+    return levels
+
+
 def deal_in_order(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None, rows_per_range: int | None = None,
                   most_ranges: int = 4096) -> DataFrame:
     """``df`` in the order of ``keys`` over its partitions and inside them, missing keys last.
@@ -59,16 +80,11 @@ def deal_in_order(df: DataFrame, keys: Sequence[str], like: DataFrame | None = N
     ordered = [F.col(k).asc_nulls_last() for k in keys]
     if not bounds:
         return df.repartition(1).sortWithinPartitions(*ordered)
-    schema = like.select(F.lit(1).alias("__one"), F.array(_order(keys)).alias("__bounds")).schema
-    held = F.broadcast(spark.createDataFrame([(1, bounds)], schema))  # one row of most_ranges keys at most
-    steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(len(bounds) + 1))))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        past = (at["lo"] < at["hi"]) & (F.get("__bounds", middle) <= F.col("__key"))
-        return F.struct(F.when(past, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(past | (at["lo"] >= at["hi"]), at["hi"]).otherwise(middle).alias("hi"))
-
-    dealt = df.withColumns({"__one": F.lit(1), "__key": _order(keys)}).join(held, "__one")
-    dealt = dealt.withColumn("__range", F.aggregate(steps, start, halve, lambda at: at["lo"])).drop("__one", "__key", "__bounds")
+    dealt = df.withColumns({"__range": F.lit(0), "__key": _order(keys)})
+    for level in _levels(bounds):
+        schema = like.select(F.lit(1).alias("__range"), F.array(_order(keys)).alias("__bounds")).schema
+        held = F.broadcast(spark.createDataFrame(level, schema))
+        past = F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))
+        dealt = dealt.join(held, "__range").withColumn("__range", F.col("__range") * FANOUT + past).drop("__bounds")
+    dealt = dealt.drop("__key")
     return dealt.repartitionById(len(bounds) + 1, F.col("__range")).drop("__range").sortWithinPartitions(*ordered)

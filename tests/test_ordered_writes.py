@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.sources import read_report, write_report
-from ledgerline.sources.order import deal_in_order, key_bounds
+from ledgerline.sources.order import FANOUT, _levels, deal_in_order, key_bounds
 
 
 def rows_in_order(spark, path):
@@ -72,3 +72,28 @@ def test_an_ordered_write_computes_its_rows_once(spark):
     assert seen.value == 5000
     back = [tuple(r)[:2] for r in read_report(spark, path, "2026-01-02").collect()]
     assert back == sorted(back, key=lambda r: (r[1], r[0]))
+
+
+def test_bounds_are_sampled_by_a_task_for_each_partition(spark):
+    tasks = tempfile.mkdtemp(prefix="ll-tasks-")
+
+    def note(batches):
+        from pyspark import TaskContext
+
+        open(f"{tasks}/{TaskContext.get().taskAttemptId()}", "w").close()
+        yield from batches
+
+    like = spark.range(0, 8000, 1, 8).mapInPandas(note, "id long")
+    assert len(key_bounds(like, ["id"], 4, 8000)) == 3
+    assert len(os.listdir(tasks)) == 8
+
+
+@pytest.mark.parametrize("count", [1, 2, 15, 16, 17, 255, 256, 300, 4095])
+def test_a_row_meets_few_bounds_on_its_way_to_its_range(count):
+    levels = _levels(list(range(count)))
+    assert max(len(bounds) for level in levels for _, bounds in level) < FANOUT
+    for key in range(-1, count):
+        at = 0
+        for level in levels:
+            at = at * FANOUT + sum(b <= key for b in dict(level)[at])
+        assert at == key + 1
