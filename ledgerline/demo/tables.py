@@ -89,14 +89,14 @@ class DerivedTables:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        # Parts first: the join on orders leaves a document's lines together, so the landed files compress well.
+        # Orders first, so that the second join's shuffle does not carry the part's texts.
         li = self._source(
             "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         p = self.raw("part").select("p_partkey", "p_name", "p_size")
-        return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
-                .join(o, F.col("l_orderkey") == F.col("o_orderkey")))
+        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                .join(p, F.col("l_partkey") == F.col("p_partkey")))
 
     @cached_property
     def invoice(self) -> DataFrame:
@@ -327,7 +327,7 @@ def _land(spark: SparkSession, sf_dir: str, root: str, name: str) -> None:
         _land(spark, sf_dir, root, source)
         derived.__dict__[source] = spark.read.parquet(f"{root}/{source}.parquet")
     tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
-    getattr(derived, name).write.mode("overwrite").parquet(tmp)
+    getattr(derived, name).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
     src, _ = _fs_path(spark, tmp)
     if not fs.rename(src, tpath) and not fs.exists(tpath):
         raise OSError(f"could not move {tmp} to {target}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import params as P
 from ledgerline.functions import facility_code, with_vat
-from ledgerline.operators import combine_prices, deduct, deduct_orders, exclude_value, keep_value, pivot_sum
+from ledgerline.operators import combine_prices, deduct, deduct_orders, deduct_sieved, exclude_value, keep_value, pivot_sum
 
 
 def zero():
@@ -20,13 +20,16 @@ def zero():
 RETURN_PIVOT_KEYS = ["txn_date", "customer_id", "sku", "sku_name", "uom", "qty"]
 
 
-def clean_invoices(invoice: DataFrame, deductions: DataFrame) -> DataFrame:
+def clean_invoices(invoice: DataFrame, deductions: DataFrame, sieved: bool = False) -> DataFrame:
     """Invoice lines without tax lines and deducted (document, SKU) pairs.
 
+    With ``sieved`` a list too long to broadcast does not shuffle the lines that are surely not
+    listed (:func:`ledgerline.operators.deduct_sieved`); both tables are then read more than once.
+
     Columns: txn_date, customer_id, sku, sku_name, uom, qty, served, bad_returns, good_returns.
     """
     inv = exclude_value(invoice, "item_type", P.TAX_ITEM_TYPE)
-    inv = deduct(inv, deductions, "invoice_key")
+    inv = (deduct_sieved if sieved else deduct)(inv, deductions, "invoice_key")
     return inv.select(
         "txn_date",
         "customer_id",

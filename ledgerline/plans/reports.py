@@ -88,21 +88,58 @@ def price_lists(price: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]
     return pivot(exclude_value(p, "channel", params.van_channel)), pivot(keep_value(p, "channel", params.van_channel))
 
 
+# Rows of the price reference up to which the SKU references are joined one by one: they are then broadcast or small.
+SKU_LOOKUPS_MAX_ROWS = 100_000
+
+
+def sku_references(refs: Mapping[str, DataFrame], prices: DataFrame) -> DataFrame:
+    """One row per SKU without its suffix: lists of its categories by raw SKU, of its case prices and of its case sizes."""
+    parts = {
+        "__categories": refs["category"].select(strip_retired_suffix("sku").alias("__sku"), F.struct(F.col("sku").alias("raw"), "category").alias("__categories")),
+        "__prices": prices.select(F.col("sku").alias("__sku"), F.struct("nonvan_price", "van_price").alias("__prices")),
+        "__sizes": refs["free_goods"].select(F.col("sku").alias("__sku"), F.struct("case_size").alias("__sizes")),
+    }
+    rows = None
+    for df in parts.values():
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    return rows.filter(F.col("__sku").isNotNull()).groupBy("__sku").agg(*[F.collect_list(c).alias(c) for c in parts])
+
+
+def with_sku_references(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -> DataFrame:
+    """``category`` of the raw SKU, and case prices and case size of the SKU without its suffix, which replaces it.
+
+    The three are lookups by keys that share the bare SKU, so the facts are shuffled once for
+    them, not once for each. As with :func:`ledgerline.operators.lookup`, repeated reference keys fan the facts out.
+    """
+    f = facts.withColumn("__sku", strip_retired_suffix("sku")).join(sku_references(refs, prices), "__sku", "left")
+    f = f.withColumn("__categories", F.filter("__categories", lambda c: c["raw"] == F.col("sku")))
+    taken = {"__categories": ["category"], "__prices": ["nonvan_price", "van_price"], "__sizes": ["case_size"]}
+    for held, cols in taken.items():
+        kept = [c for c in f.columns if c != held]
+        # explode_outer keeps a fact without an entry.
+        f = f.select(*kept, F.explode_outer(held).alias(held)).select(*kept, *[F.col(held)[c].alias(c) for c in cols])
+    return f.withColumn("sku", F.col("__sku")).drop("__sku")
+
+
 def enrich(facts: DataFrame, refs: Mapping[str, DataFrame], prices: DataFrame) -> DataFrame:
     """Customer, category, supervisor, calendar week, case prices and free-goods case size.
 
     The calendar inner join goes first: it only removes rows and commutes with the
     left joins, so the customer join shuffles fewer rows. The category joins on
-    the raw SKU; the retired-code suffix is removed before the price and
-    free-goods joins.
+    the raw SKU, prices and free goods on the SKU without the retired-code suffix: one by
+    one where the references are small, else together. The customer's columns, which widen a
+    row most, are attached last.
     """
     f = attach_calendar(facts, refs["calendar"])
+    if prices.count() > SKU_LOOKUPS_MAX_ROWS:
+        f = with_sku_references(f, refs, prices)
+    else:
+        f = lookup(f, refs["category"], "sku", ["category"])
+        f = f.withColumn("sku", strip_retired_suffix("sku"))
+        f = lookup(f, prices, "sku", ["nonvan_price", "van_price"])
+        f = lookup(f, refs["free_goods"], "sku", ["case_size"])
     f = lookup(f, refs["customer"], "customer_id", CUSTOMER_COLS)
-    f = lookup(f, refs["category"], "sku", ["category"])
-    f = lookup(f, refs["supervisor"], "rep_id", ["supervisor"])
-    f = f.withColumn("sku", strip_retired_suffix("sku"))
-    f = lookup(f, prices, "sku", ["nonvan_price", "van_price"])
-    return lookup(f, refs["free_goods"], "sku", ["case_size"])
+    return lookup(f, refs["supervisor"], "rep_id", ["supervisor"])
 
 
 def case_prices(refs: Mapping[str, DataFrame], params: Params, path: str | None = None) -> DataFrame:
@@ -117,9 +154,12 @@ def _prices(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | N
     return prices if prices is not None else case_prices(refs, params)
 
 
-def enriched_invoices(refs: Mapping[str, DataFrame], prices: DataFrame) -> DataFrame:
-    """Cleaned, enriched invoice lines: the rows that net invoiced and served invoice share."""
-    return enrich(clean_invoices(refs["invoice"], refs["deductions"]), refs, prices)
+def enriched_invoices(refs: Mapping[str, DataFrame], prices: DataFrame, sieved: bool = False) -> DataFrame:
+    """Cleaned, enriched invoice lines: the rows that net invoiced and served invoice share.
+
+    ``sieved`` as in :func:`ledgerline.plans.facts.clean_invoices`.
+    """
+    return enrich(clean_invoices(refs["invoice"], refs["deductions"], sieved), refs, prices)
 
 
 def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFrame | None = None,
@@ -132,7 +172,7 @@ def net_invoiced(refs: Mapping[str, DataFrame], params: Params, prices: DataFram
     prices = _prices(refs, params, prices)
     ret = returns_pivot(refs["returns"], refs["deductions"], vat=params.vat_multiplier).withColumn("served", zero())
     if invoices is None:
-        f = enrich(union_all([clean_invoices(refs["invoice"], refs["deductions"]), ret]), refs, prices)
+        f = enrich(union_all([clean_invoices(refs["invoice"], refs["deductions"], sieved=params.broadcast_max_rows > 0), ret]), refs, prices)
     else:
         f = union_all([invoices, enrich(ret, refs, prices)])
     f = f.withColumn("net_value", F.col("served") - F.col("bad_returns") - F.col("good_returns"))
@@ -162,7 +202,7 @@ def served_invoice(refs: Mapping[str, DataFrame], params: Params, prices: DataFr
                    invoices: DataFrame | None = None) -> DataFrame:
     """Invoices only (no returns), served value and volume; ``invoices`` as in :func:`net_invoiced`."""
     if invoices is None:
-        invoices = enriched_invoices(refs, _prices(refs, params, prices))
+        invoices = enriched_invoices(refs, _prices(refs, params, prices), sieved=params.broadcast_max_rows > 0)
     return _order_report(invoices, "served", params)
 
 

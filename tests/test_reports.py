@@ -170,3 +170,25 @@ def test_same_results_without_any_broadcast(spark, t, params):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert rows == base
+
+
+def test_sku_references_joined_together_give_the_rows_of_single_lookups(spark, t, params, monkeypatch):
+    from ledgerline.plans import reports
+
+    t2 = dict(t)
+    odd = "S1' as sku, 'odd' as sku_name, 'Twice' as category"
+    t2["category"] = t["category"].unionByName(t["category"]).unionByName(spark.sql(f"select '{odd} union all select null, null, 'Nowhere'"))
+    t2["free_goods"] = t["free_goods"].unionByName(t["free_goods"].limit(1)).unionByName(
+        spark.sql("select cast(null as string) as sku, cast(3 as decimal(12,2)) as case_size union all select '200', cast(null as decimal(12,2))"))
+    prices = reports.case_prices(t, params)
+    prices = prices.unionByName(prices).unionByName(prices.limit(1).selectExpr("cast(null as string) as sku", "nonvan_price", "van_price"))
+    facts = t["invoice"].select("txn_date", "customer_id", "sku", "uom", "qty")
+    facts = facts.unionByName(facts.withColumn("sku", F.concat("sku", F.lit("_old")))).unionByName(facts.withColumn("sku", F.lit(None).cast("string")))
+    cols = ["txn_date", "customer_id", "sku", "uom", "category", "nonvan_price", "van_price", "case_size", "channel", "week"]
+    rows = lambda: sorted(map(str, reports.enrich(facts, t2, prices).select(*cols).collect()))
+    singly = rows()
+    joins = lambda: reports.enrich(facts, t2, prices)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    before = joins()
+    monkeypatch.setattr(reports, "SKU_LOOKUPS_MAX_ROWS", -1)
+    assert rows() == singly and len(singly) > facts.count()
+    assert joins() == before - 2  # the facts meet one SKU reference, not three
