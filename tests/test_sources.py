@@ -241,3 +241,28 @@ def test_report_is_computed_once_and_read_back_in_order(spark):
     files = sorted(f for f in os.listdir(part) if f.endswith(".parquet"))
     keys = [r.k for f in files for r in spark.read.parquet(os.path.join(part, f)).collect()]
     assert len(files) > 1 and keys == sorted(keys) and len(keys) == 2000
+
+
+def test_sheets_are_parsed_by_chunks_without_an_event_for_each_element(monkeypatch):
+    import io
+    import zipfile
+
+    from ledgerline.sources import sheets
+
+    rows = [["a&b <c>", None, 1.5], ["_x0041_", "\x01", True], *[[f"text {i}", "", i] for i in range(500)]]
+    content = sheets.build_workbook(["k", "v", "n"], rows, header_row=3)
+
+    def read():
+        with zipfile.ZipFile(io.BytesIO(content)) as zf:
+            return [(n, [row.text(i) for i in range(row.width)]) for n, row in sheets.iter_sheet(zf, sheets.first_sheet(zf)[0])]
+
+    def refuse(*args, **options):
+        raise AssertionError("an event for each element")
+
+    monkeypatch.setattr(sheets.ET, "iterparse", refuse)
+    whole = read()
+    assert whole[:3] == [(3, ["k", "v", "n"]), (4, ["a&b <c>", None, "1.5"]), (5, ["_x0041_", "\x01", "TRUE"])]
+    assert len(whole) == 503 and whole[-1] == (505, ["text 499", "", "499"])
+    for size in (1, 7, 100):  # rows are whole wherever a chunk ends
+        monkeypatch.setattr(sheets, "_CHUNK", size)
+        assert read() == whole
