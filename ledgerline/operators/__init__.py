@@ -11,6 +11,7 @@ from ledgerline.operators.joins import (
     deduct_sieved,
     lookup,
     only_deducted,
+    only_deducted_sieved,
 )
 from ledgerline.operators.quality import assert_unique, existing_categories, key_fanout, key_fanouts, rejected_cells, uncategorized
 from ledgerline.operators.setops import union_all, upsert
@@ -36,6 +37,7 @@ __all__ = [
     "missing_counts",
     "non_null_counts",
     "only_deducted",
+    "only_deducted_sieved",
     "pivot_sum",
     "rename_columns",
     "rejected_cells",

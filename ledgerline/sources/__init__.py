@@ -1,6 +1,6 @@
 """Reading extracts and references, writing dated reports, bulk workbook ingest."""
 
-from ledgerline.sources.reports import read_report, report_label, write_report
+from ledgerline.sources.reports import read_report, report_label, write_report, write_reports
 from ledgerline.sources.tables import read_checked, read_table, required_values
 from ledgerline.sources.workbook import ingest_checked, ingest_workbooks, write_workbooks
 
@@ -13,5 +13,6 @@ __all__ = [
     "report_label",
     "required_values",
     "write_report",
+    "write_reports",
     "write_workbooks",
 ]

@@ -60,3 +60,15 @@ def test_large_inputs_are_landed_without_a_deal(spark, sf_dir, monkeypatch):
     assert "Repartition" in plan()
     monkeypatch.setattr(tables, "SPLIT_BYTES", 1)
     assert "Repartition" not in plan()
+
+
+def test_facts_landed_in_parts_hold_the_same_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tables, "PART_BYTES", 1)
+    link = f"{tempfile.mkdtemp(prefix='ll-raw-')}/parts"
+    os.symlink(sf_dir, link)
+    root = tables.land_extracts(spark, link, names=tables.FACTS)
+    derived = tables.DerivedTables(spark, sf_dir)
+    held = [tables.DerivedTables(spark, sf_dir, part=(i, tables.MOST_PARTS)).invoice.count() for i in range(tables.MOST_PARTS)]
+    assert sum(held) == derived.invoice.count() and max(held) < sum(held)
+    for name in tables.FACTS:
+        assert sorted(map(str, spark.read.parquet(f"{root}/{name}.parquet").collect())) == sorted(map(str, getattr(derived, name).collect())), name
